@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from helpdex.llm import normal_forms, splitting, tokenizing
+from helpdex.llm import language_spans, normal_forms, splitting, tokenizing
 
-_MODULES = (normal_forms, splitting, tokenizing)
+_MODULES = (language_spans, normal_forms, splitting, tokenizing)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
