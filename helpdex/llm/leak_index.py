@@ -100,6 +100,7 @@ class FmIndex:
     """
 
     def __init__(self, text: np.ndarray, symbols: int):
+        text = np.append(text, 0)  # ends the text; 0 is no word
         n = len(text)
         self.n = n
         rank, k = text.astype(np.int64), 1
