@@ -32,6 +32,8 @@ from helpdex.sources.tables import table
 
 SAMPLE_DOCS, BUCKETS = 6_000, 1 << 17
 GRADES = 3
+#: Words scored together where a sentence is longer.
+SPAN = 12
 #: A document is flagged from this probability of a grade above 0; low, as flagged documents are reviewed.
 FLAG_AT = 0.2
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
@@ -46,10 +48,10 @@ CYRILLIC, LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[A-Za-zÀ-ɏ]")
 
 #: Beginnings of words (folded, doubled letters single) by family, in the six languages.
 FAMILIES = {
-    "insult": "idiot debil kretyn palant dupek dupk balwan gnoj gnoi smieciu nieudacznik glupek tuman matol ciot frajer pajac smiec szmat suko skurwysyn moron bastard ashole asshole scumbag dumbas loser piece_of_shit clown bitch jerk wanker twat prick dickhead arschloch trotel mistkerl pener volidiot vollidiot wichser hurensohn depp schlampe mißgeburt cabron gilipolas imbecil pendejo hijo_de_puta estupido_de ідіот кретин покидьк нікчем дебіл придур мудак сволот виродк kreten debile hajzl blbec kokot idiote vole_blby imbecil zmrd",
+    "insult": "idiot debil kretyn palant palanc dupek dupk balwan gnoj gnoi smieciu nieudacznik glupek tuman matol ciot frajer pajac smiec szmat suko skurwysyn moron bastard ashole asshole scumbag dumbas loser piece_of_shit clown bitch jerk wanker twat prick dickhead arschloch trotel mistkerl pener volidiot vollidiot wichser hurensohn depp schlampe mißgeburt cabron gilipolas imbecil pendejo hijo_de_puta estupido_de ідіот кретин покидьк нікчем дебіл придур мудак сволот виродк kreten debile hajzl blbec kokot idiote vole_blby imbecil zmrd",
     "curse": "kurw pierdol odpierdol spierdal wypierdal spieprzaj jeb zajeb huj chuj pizd fuck shit bulshit bullshit verpis scheis scheiß fick mierd joder coño бісу курв хуй бля срак лайн єбан prdel kurva hovno jdi_do serem drz_hubu halt_die_fresse fresse pysk morda zamknij_sie shut_up go_to_hell calate callate стули_пельку пельку vete_a_la",
     "threat": "zdechn polamie znajde_cie zabije_cie zatluke uduszi udlaw choke break_your kill_you find_you_and jump_of jumped_off hang_yourself miss_you_if breche_dir finde_dich bringe_dich umbring te_voy_a_matar romper_las знайду_тебе вб'ю_тебе вбю_тебе здохн найду_тебя najdu_te zabiju_te chcipni zlamu_ti ojala_te ojala_se",
-    "degrade": "robactw zaraza zaraze zarazy gorsi_od_zwierzat nadaja_sie_tylko wyrzucic_stad trzeba_ich zadnych_praw vermin les_than_animals less_than thrown_out no_rights to_stupid_to too_stupid send_them_al send_them ungeziefer rausgeworfen schlimer_als keine_rechte plaga hay_que_echar peores_que valen_menos menos_que_los_animales паразит вигнат гірші_за havet vyhodit horsi_nez zadna_prava subhuman podludz untermensch",
+    "degrade": "robactw zaraza zaraze zarazy gorsi_od_zwierzat nadaja_sie_tylko wyrzucic_stad trzeba_ich zadnych_praw vermin les_than_animals less_than worth_less thrown_out no_rights to_stupid_to too_stupid send_them_al send_them ungeziefer rausgeworfen weniger_wert schlimer_als keine_rechte plaga hay_que_echar peores_que valen_menos menos_que_los_animales паразит вигнат гірші_за havet vyhodit horsi_nez zadna_prava subhuman podludz untermensch",
     "sexual": "porn pornos nagie_zdjec nago cycki cyck cycat nude naked tits titten titen nacktfoto nackt bumsen tetas desnud голі_фото цицьк цицк голою nahe_fotk nahou kozy sexualni sperm penis vagin masturb orgazm orgasm blowjob erotick_fot bzyk ruchac ruchan dymac секс_зі",
     "mild": "glup stupid dumb blod dum doof hloup tont dur дурн tepy useles worthless bezwartosc zlodziei zlodziej garbage szkoda_na nutzlos inutil nula",
     "you": "ty ci cie ciebie tobie twoj twoje twoja jestes ci_rece you your du dich dir dein ihr_alle ти тебе тобі твої tu te tus ti jsi tve tvoje tobe nadie_te nikt_cie nobody_asked",
@@ -74,7 +76,6 @@ def single(text: str) -> str:
 STEMS = {name: tuple(sorted({single(w) for w in stems.split() if "_" not in w})) for name, stems in FAMILIES.items()}
 PHRASES = {name: tuple(sorted({single(w.replace("_", " ")) for w in stems.split() if "_" in w})) for name, stems in FAMILIES.items()}
 STEM_PATTERNS = {name: re.compile("|".join(map(re.escape, sorted(stems, key=len, reverse=True)))) for name, stems in STEMS.items()}
-INSULTS = tuple(w for n in ("insult", "curse") for w in STEMS[n])
 
 
 def folded(text: str) -> str:
@@ -97,6 +98,11 @@ def undone(word: str) -> tuple[str, bool]:
     return word, changed
 
 
+def skeleton(word: str) -> str:
+    """A word with every vowel as 0, which is how vowels are often hidden."""
+    return single(re.sub(r"[aeiouy0аеиоуіяюєї]", "0", word))
+
+
 def words_of(sentence: str) -> tuple[list[str], bool, bool]:
     """Folded words of a sentence, whether an evasive spelling was undone, and whether a masked word can be an insult."""
     undid = False
@@ -116,10 +122,27 @@ def words_of(sentence: str) -> tuple[list[str], bool, bool]:
                 continue
         word, changed = undone(token)
         undid |= changed
+        if changed and "0" in token:
+            bones = skeleton(folded(token))
+            word = next((stem for shape, stem in SKELETONS if bones.startswith(shape)), word)
         out.append(folded(word))
     return out, undid, masked
 
 
+SKELETONS = tuple((skeleton(w), w) for n in ("insult", "curse") for w in STEMS[n] if len(w) > 3)
+
+
+def units(text: str) -> Iterator[str]:
+    """Sentences of a text; of a long one, overlapping windows of SPAN words, as sentences may follow without a stop."""
+    for sentence in SENTENCE.split(text):
+        words = sentence.split()
+        if len(words) <= SPAN + SPAN // 2:
+            yield sentence
+        else:
+            for k in range(0, len(words) - SPAN // 2, SPAN // 2):
+                yield " ".join(words[k : k + SPAN])
+
+
 def features(sentence: str) -> list[int] | None:
     """Sorted indices of a sentence's features: word families, pairs, evasions, then hashed words; None without words."""
     words, undid, masked = words_of(sentence)
@@ -210,7 +233,7 @@ def sentence_rows(documents: DataFrame) -> DataFrame:
         for batch in batches:
             at, lists = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for f in filter(None, map(features, set(SENTENCE.split(text)))):
+                for f in filter(None, map(features, set(units(text)))):
                     at.append(i), lists.append(f)
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("grade").take(rows), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
@@ -247,7 +270,7 @@ def fit(documents: DataFrame, votes: DataFrame, sample_docs: int = SAMPLE_DOCS)
         worst[order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]] = True
         seen = at_least(model, score)[:, 0]
         # votes for a document count less for a sentence that looks bad; of one voted against only the worst sentence tells
-        weight = np.where(grade == 0, np.maximum(0.3, 1.0 - seen), np.where(worst, np.clip(2 * seen, 0.02, 1.0), 0.0))
+        weight = np.where(grade == 0, np.maximum(0.3, 1.0 - seen), np.where(worst, np.clip(2 * seen, 0.0, 1.0) ** 2, 0.0))
         model = fit_weights(model, rows, columns, len(got), grade, weight)
     return model
 
@@ -271,10 +294,7 @@ class Scorer:
         return got
 
     def text(self, text: str | None) -> float:
-        return max(map(self.sentence, SENTENCE.split(re.sub(r"\d+", "0", text) if LONG_NUMBER.search(text) else text)), default=-30.0) if text else -30.0
-
-
-LONG_NUMBER = re.compile(r"\d{2}")
+        return max(map(self.sentence, units(re.sub(r"\d\d+", "0", text))), default=-30.0) if text else -30.0
 
 
 def score(documents: DataFrame, model: Severity, keys: list[str]) -> DataFrame:
