@@ -32,7 +32,7 @@ from helpdex.sources.tables import table
 
 TYPES = ("email", "phone", "idno", "address", "name")
 #: Bound of the fit, and the trees' size.
-SAMPLE_ITEMS, TREES, DEPTH = 60_000, 20, 4
+SAMPLE_ITEMS, TREES, DEPTH = 60_000, 24, 4
 WINDOW = 48
 FAR = 99.0
 
@@ -40,8 +40,8 @@ FAR = 99.0
 CUES = {
     "phone": r"\btel\b|telefon\w*|\bphone|\bmobile|call me|\bdzwon\w*|\boddzwon\w*|moj numer to|my number is|meine nummer|\brufen sie|\bruckruf|\bhandy\w*|телефон\w*|мій номер|dzwoncie|llam\w+|mi numero es|zavolej\w*|komork\w*|numer kom\w*",
     "idno": r"\bpesel|\bdowod\w*|osobist\w*|paszport\w*|passport\w*|pasaporte|reisepass\w*|ausweis\w*|\bpasu\b|\bpas\b|паспорт\w*|\bssn\b|social security|\bni number|national insurance|\bnino\b|\bdni\b|\bnie\s*:|rodne cislo|\bіпн|рнокпп|versicherung\w*|obcansk\w*|seguridad social|\bid card|identity card",
-    "address": r"adres\w*|address|kurier\w*|courier|ship it|is at\b|zdalnie|pracuje|mieszka\w*|\blive\b|wohn\w*|direcc\w*|adresse|адрес\w*|bydl\w*|posl\w*|send it",
-    "name": r"nazywam sie|\bname is|\bname ist|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grusse,?|gru(?:ss|sse),?|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|(?:на|to) (?:ім'я|jmeno):?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
+    "address": r"adres\w*|address|kurier\w*|courier|ship it|is at\b|zdalnie|pracuje|mieszka\w*|\blive\b|wohn\w*|direcc\w*|adresse|адрес\w*|bydl\w*|posl\w*|send it|liefern an|filiale|zustell\w*|schicken",
+    "name": r"nazywam sie|\bname is|\bname ist|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grus?se,?|mit freundlichen grus?sen,?|grus?s?e?,|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|(?:на|to) (?:ім'я|jmeno):?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
     "email": r"mail\w*|kontakt\w*|adres\w*|reply to|antworten|odpowiedz na|piszcie|reach me|пошта|відповісти|correo|odpov\w*|adresse",
 }
 OTHER_CUES = r"zglosze\w*|zamowie\w*|seryjn\w*|serial\w*|serie\w*|faktur\w*|invoice|\bport\b|puerto|\blimit|\bip\b|wersj\w*|versi\w*|verze|версі\w*|\bbuild|\bpart\b|\border\b|\bticket|vorgang\w*|bestell\w*|pedido|incidencia|замовлен\w*|звернен\w*|objednav\w*|hlaseni|\bkod\w*|\bcode\b|codigo|\bкод\w*|blad|error|chyb\w*|fehler|помилк\w*|bajt\w*|byte\w*|номер заявки|серійн\w*|seriov\w*|zgłasza|message|komunikat|\bdevice (?:id|no)|asset|inventar\w*|inwentarz\w*|rechnung\w*|factura\w*|рахун\w*|сторінк\w*|\bmac\b"
@@ -60,7 +60,7 @@ STREET_WORDS = r"ul\.|ulica|ulicy|aleja|alei|al\.|os\.|osiedle|pl\.|plac|ulice|n
 STREET_ENDS = r"road|rd|lane|ln|street|st|avenue|ave|drive|close|way|court|square|terrace|gardens|crescent|place|hill|row|mews"
 
 EMAIL = re.compile(
-    r"[\w][\w.+%-]*(?:\s*(?:@|\(at\)|\[at\]|\{at\}|\(małpa\)|\[małpa\])\s*|\s+(?:at|małpa|malpa)\s+)[\w-]+(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\s?\.\s?)[\w-]+)*?(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.)[a-z]{2,10}(?![\w])",
+    r"[\w][\w.+%-]*(?:\s*(?:@|\(at\)|\[at\]|\{at\}|\(małpa\)|\[małpa\])\s*|\s+(?:at|małpa|malpa)\s+)[\w-]+(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.|\s\.\s)[\w-]+)*(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.)[a-z]{2,10}(?![\w])",
     re.I,
 )
 DIGITS = re.compile(r"(?<![\w+(/])(?:\+|00)?\s?\(?\d[\d ().\- /]{4,20}\d(?!\w)")
@@ -70,9 +70,10 @@ NUMBERS = re.compile(
 )
 NAME_PART = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 ADDRESS = re.compile(
-    rf"(?<!\w)(?:{STREET_WORDS})\s*(?:{NAME_PART}\.?\s+){{0,3}}{NAME_PART},?\s+\d{{1,4}}\s?[a-z]?(?:\s?(?:/|m\.|lok\.|кв\.)\s?\d{{1,4}})?(?!\w)"
+    rf"(?<!\w)(?:{STREET_WORDS})\s*(?:{NAME_PART}\.?\s+){{0,3}}{NAME_PART},?\s+\d{{1,4}}(?:[a-z]|\s[a-z](?![\w.]))?(?:\s?(?:/|m\.|lok\.|кв\.)\s?\d{{1,4}})?(?!\w)"
     rf"|(?<!\w)(?:flat\s+\d+\w?,?\s+)?\d{{1,4}}[a-z]?,?\s+(?:{NAME_PART}\s+){{1,3}}(?:{STREET_ENDS})(?!\w)"
-    rf"|(?<!\w)(?:{NAME_PART}\s+){{0,2}}[^\W\d_]*(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer)\s+\d{{1,4}}\s?[a-z]?(?!\w)",
+    rf"|(?<!\w)(?:{NAME_PART}\s+){{0,2}}[^\W\d_]*(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|zeile|steig|stieg|grund|pfad|ring|damm|winkel)\s+\d{{1,4}}(?:[a-z]|\s[a-z](?![\w.]))?(?!\w)"
+    rf"|(?<!\w)[^\W\d_]{{6,}}\s+\d{{1,3}}[a-z]?(?=,\s*(?:\d{{4,5}}\s+)?[^\W\d_]{{4,}})",
     re.I,
 )
 NAME_AFTER_CUE = re.compile(rf"[\s:,\-]*((?:[^\W\d_]\.\s?|{NAME_PART}\s+)(?:[^\W\d_]\.|{NAME_PART}))(?!\w)")
@@ -99,7 +100,7 @@ FEATURES = (
     *(f"is_{t}" for t in TYPES),
     "digits", "letters", "length", "plus", "paren", "at_sign", "seps", "digits_9", "digits_11", "digits_lead_0", "dots",
     "own_cue", "other_cue", "own_nearer", "no_space_before_other", "rival_cue", "glued_before", "glued_after",
-    "given_1", "given_2", "capital_1", "capital_2", "upper", "initial", "role_word", "words", "hyphen", "after_cue_directly", "mixed_case_text", "street_word",
+    "given_1", "given_2", "cued_initial", "capital_1", "capital_2", "upper", "initial", "role_word", "words", "hyphen", "after_cue_directly", "mixed_case_text", "street_word",
 )
 AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -174,7 +175,8 @@ def describe(text: str, low: str, kind: int, a: int, b: int) -> list[float]:
         f[AT["capital_1"]] = float(parts[0][0].isupper())
         f[AT["capital_2"]] = float(parts[-1][0].isupper())
         f[AT["initial"]] = float(any(len(w) == 1 for w in parts))
-        f[AT["role_word"]] = sum(w in ROLES for w in lows)
+        f[AT["cued_initial"]] = float(f[AT["initial"]] and own_d <= 3 and f[AT["capital_1"]] and f[AT["capital_2"]])
+        f[AT["role_word"]] = sum(w in ROLES for w in lows if len(w) > 1 or "." not in span)
         f[AT["words"]] = len(parts)
     f[AT["upper"]] = float(span.isupper())
     f[AT["hyphen"]] = float("-" in span)
@@ -200,13 +202,13 @@ def weak_label(f: list[float]) -> int:
             return 0
         return 1 if own < 30 else 0 if other < FAR or f[AT["letters"]] else -1
     if f[3]:
-        return 1 if f[AT["street_word"]] or own < 30 else -1
+        return 1 if f[AT["street_word"]] or own < 30 else 0 if own == FAR else -1
     if f[AT["role_word"]]:
         return 0
     given = f[AT["given_1"]] or f[AT["given_2"]]
     if given and (f[AT["capital_1"]] and f[AT["capital_2"]] or own <= 3):
         return 1
-    if f[AT["initial"]] and own <= 3 and f[AT["capital_1"]] and f[AT["capital_2"]]:
+    if f[AT["cued_initial"]]:
         return 1
     return -1 if own <= 3 else 0
 

@@ -1,0 +1,305 @@
+"""Operators against brute force, round trips and known cases."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helpdex.llm import language_spans, leak_index, normal_forms, personal_data, severity, similar_vectors, splitting, tokenizing
+
+SF = "/root/testdata/sf0.01"
+
+
+# languages
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language_spans.fit(language_spans.table(spark, SF, "documents"))
+
+
+def test_languages_of_known_texts(spark, model):
+    cases = [
+        ("Jak mogę zmienić hasło do poczty?", ["pl"]), ("jak moge zmienic haslo do poczty", ["pl"]), ("How can I change my password today?", ["en"]), ("Wie kann ich das Passwort für meine Mail ändern?", ["de"]),
+        ("Як я можу змінити пароль до пошти?", ["uk"]), ("¿Cómo puedo cambiar la contraseña del correo?", ["es"]), ("Jak můžu změnit heslo k poště?", ["cs"]),
+        ("Nie mogę otworzyć pliku od rana. Why won't it let me open the file?", ["en", "pl"]), ("Velmo E7087046??", []), ("key=12 drv:44 svc_9; job-77", []), ("if (a != b && c->d[i]) { return ~mask<<2; }", []), ("", []), (None, []), (" \n ", []), ("漢字かな 한글", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string")
+    got = {r["id"]: sorted(x["lang"] for x in r["langs"]) for r in language_spans.identify(df, model, ["id"]).collect()}
+    assert [(t, got[i]) for i, (t, want) in enumerate(cases) if got[i] != want] == []
+    sure = language_spans.identify(df, model, ["id"]).select(F.explode("langs.confidence").alias("c")).agg(F.min("c").alias("a"), F.max("c").alias("b")).first()
+    assert 0 <= sure["a"] <= sure["b"] <= 1
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    scores = rng.normal(size=(7, 6)).astype(np.float32) * 3
+    text, sentence = np.zeros(7, dtype=int), np.array([1, 1, 1, 2, 2, 2, 2])
+    penalty = np.where(np.concatenate([[True], sentence[1:] != sentence[:-1]]), language_spans.SWITCH_AT_START, language_spans.SWITCH)
+
+    def worth(path):
+        return sum(scores[i, k] - (penalty[i] if i and path[i - 1] != k else 0) for i, k in enumerate(path))
+
+    best = {(k,): float(scores[0, k]) for k in range(6)}
+    for i in range(1, 7):
+        best = {p + (k,): v + scores[i, k] - (penalty[i] if p[-1] != k else 0) for p, v in best.items() for k in range(6)}
+        if i % 2 == 0:  # keep the best for each last language
+            best = {max((p for p in best if p[-1] == k), key=best.get): max(best[p] for p in best if p[-1] == k) for k in range(6)}
+    assert worth(tuple(language_spans.viterbi(scores, text, sentence))) == pytest.approx(max(best.values()), abs=1e-4)
+    two = language_spans.viterbi(np.concatenate([scores, scores[:3]]), np.array([0] * 7 + [1] * 3), np.concatenate([sentence, [3, 3, 3]]))
+    assert list(two[:7]) == list(language_spans.viterbi(scores, text, sentence))
+
+
+def test_segments_have_their_texts(spark, model):
+    text = "Nie mogę otworzyć pliku od rana, bo program się zawiesza. Please restore the folder from the copy of the last week."
+    rows = language_spans.segments(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), model, ["id"]).orderBy("start_pos").collect()
+    assert [(r["lang"], text[r["start_pos"] - 1 : r["end_pos"]].split()[0]) for r in rows] == [("pl", "Nie"), ("en", "Please")]
+
+
+# records
+
+
+def test_records(spark):
+    rows = [
+        (5, ("Jak?", "a/b.md")), (3, (" jak!! ", "A\\B.md")), (9, ("JAK", "a b md")), (4, ("jąk", "a/b.md")), (6, ("jak", None)), (7, ("jak", " ")), (8, ("ja", "k")), (None, ("jak", None)), (1, (None, None)),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, record struct<q: string, top_path: string>")
+    ids, groups = normal_forms.record_groups(df, "id", "record")
+    assert sorted((r["first_id"], r["copies"]) for r in groups.collect()) == [(1, 1), (3, 3), (4, 1), (6, 2), (8, 1)]
+    assert ids.count() == 8
+
+
+def test_field_and_map_order_do_not_matter(spark):
+    df = spark.sql("select map('x', 'A b', 'y', '2') as a, map('y', '2', 'x', 'ab') as b, array('1', '2') as c, array('2', '1') as d")
+    kind = df.schema["a"].dataType
+    got = df.select((normal_forms.merkle(F.col("a"), kind) == normal_forms.merkle(F.col("b"), kind)).alias("same"), (normal_forms.merkle(F.col("c"), df.schema["c"].dataType) == normal_forms.merkle(F.col("d"), df.schema["c"].dataType)).alias("ordered"), (normal_forms.merkle(F.col("c"), df.schema["c"].dataType, True) == normal_forms.merkle(F.col("d"), df.schema["c"].dataType, True)).alias("unordered")).first()
+    assert (got["same"], got["ordered"], got["unordered"]) == (True, False, True)
+
+
+def test_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(normal_forms, "merkle", lambda value, kind, unordered_arrays=False: F.lit("same"))
+    df = spark.createDataFrame([(1, ("a", None)), (2, ("b", None)), (3, ("A", None))], "id bigint, record struct<q: string, top_path: string>")
+    assert sorted((r["first_id"], r["copies"]) for r in normal_forms.record_groups(df, "id", "record")[1].collect()) == [(1, 2), (2, 1)]
+
+
+# splitting
+
+
+@pytest.mark.parametrize(("limit", "overlap", "unit"), [(120, 30, "chars"), (40, 0, "chars"), (90, 20, "bytes")])
+def test_pieces_fit_overlap_and_lose_nothing(limit, overlap, unit):
+    rng = random.Random(5)
+    for _ in range(300):
+        text = splitting.trimmed("".join(rng.choice(["słowo", "a", " ", "\n\n", "\n", ". ", "! ", "…", "xxxxxxxxxxxxxxxxxxxx", "\r\n", "😀"]) for _ in range(rng.randint(1, 120))))
+        if not text:
+            continue
+        pieces = splitting.cut_points(text, splitting.boundaries(text), limit, overlap, unit)
+        assert "".join(text[a + o : b] for a, b, o in pieces) == text
+        assert all((len(text[a:b]) if unit == "chars" else len(text[a:b].encode())) <= limit for a, b, _ in pieces)
+        assert all((o if unit == "chars" else len(text[a : a + o].encode())) <= overlap for a, _, o in pieces)
+
+
+def test_boundaries_are_natural():
+    text = "Pierwszy akapit. " * 3 + "\n\n" + "Drugi akapit ma zdania. " * 5
+    pieces = splitting.cut_points(text, splitting.boundaries(text), 100, 20)
+    assert pieces[0][1] == text.index("Drugi")
+    assert splitting.first_level("a" * 50, splitting.boundaries("a" * 50), 20) == "none"
+    with pytest.raises(ValueError, match="overlap"):
+        splitting.split(None, 100, 60)
+
+
+# vectors
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, kind string, vec array<float>")
+
+
+def brute(rows, least, top):
+    out = set()
+    for kind in {k for _, k, _ in rows if k}:
+        own = {i: np.array(v, dtype=float) for i, k, v in rows if k == kind and i is not None and v is not None and len(v) == 64 and np.isfinite(v).all() and np.any(v)}
+        ids = sorted(own)
+        x = np.array([own[i] / np.linalg.norm(own[i]) for i in ids]).reshape(-1, 64)
+        s = np.round(x @ x.T, 6)
+        for a in range(len(ids)):
+            order = sorted((-s[a, b], ids[b]) for b in range(len(ids)) if b != a)[:top]
+            out |= {(min(ids[a], b), max(ids[a], b)) for c, b in order if -c >= least}
+    return out
+
+
+@pytest.mark.parametrize("cell", [4_000, 6])
+def test_similar_vectors(spark, monkeypatch, cell):
+    monkeypatch.setattr(similar_vectors, "CELL", cell)
+    rng = np.random.default_rng(2)
+    rows, i = [], 0
+    for _ in range(150):
+        base = rng.normal(size=64)
+        base /= np.linalg.norm(base)
+        for _ in range(int(rng.integers(1, 5))):
+            noise = rng.normal(size=64)
+            v = base + noise / np.linalg.norm(noise) * rng.uniform(0, 0.35)
+            rows.append((i, "text" if i % 3 else "question", (v * rng.choice([1, 12])).tolist()))
+            i += 1
+    rows += [(1000 + k, "text", rows[1][2]) for k in range(9)] + [(2000, "text", None), (2001, "text", [0.0] * 64), (2002, "text", [1.0] * 3), (2003, "text", [float("nan")] * 64), (2004, None, rows[0][2]), rows[3], rows[3]]
+    got = {(r["id_a"], r["id_b"]) for r in similar_vectors.similar(vectors(spark, rows), 0.9).collect()}
+    want = brute(rows, 0.9, 5)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_nearest_recall(spark):
+    chunks = similar_vectors.table(spark, "/root/testdata/sf0.1", "chunks")
+    got: dict[int, set] = {}
+    for r in similar_vectors.nearest(chunks, F.col("id") % 100 == 0).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    rows = {(r["kind"], r["id"]): r["vec"] for r in chunks.select("id", "kind", "vec").collect() if r["vec"] is not None and len(r["vec"]) == 64 and np.isfinite(r["vec"]).all() and np.any(r["vec"])}
+    right = total = 0
+    for kind in {k for k, _ in rows}:
+        ids = np.array(sorted(i for k, i in rows if k == kind))
+        x = np.array([rows[kind, i] for i in ids], dtype=float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for a in np.flatnonzero(ids % 100 == 0):
+            s = x @ x[a]
+            s[a] = -2
+            true = set(ids[np.argsort(-s)[:5]].tolist())
+            right, total = right + len(true & got.get(int(ids[a]), set())), total + 5
+    assert right / total >= 0.9
+
+
+# personal data
+
+
+def test_personal_data(spark):
+    items = personal_data.question_items(spark, SF)
+    trees = personal_data.fit(items)
+    cases = [
+        ("Oddzwońcie na +48 310 952 676 jeszcze dziś.", [("phone", "+48 310 952 676")]), ("Numer zgłoszenia 700858778.", []), ("nr zamówienia 99886515432", []), ("Mój PESEL: 366602-40337.", [("idno", "366602-40337")]),
+        ("numer dowodu PNV 383237, numer seryjny DMA698129", [("idno", "PNV 383237")]), ("kontakt: jan.kowal+it (at) example.com, adres IP 192.0.2.58", [("email", "jan.kowal+it (at) example.com")]), ("Nazywam się zofia oskwarnenda.", [("name", "zofia oskwarnenda")]),
+        ("Pozdrawiam, dział IT", []), ("Sprzęt stoi pod adresem ul. Gajowa Nowa 170 m. 2, Świtogóra.", [("address", "ul. Gajowa Nowa 170 m. 2")]), ("port 8443, limit 500 123 bajtów", []), ("Velmo pokazuje błąd HD-7911086", []), ("please ship it to 363 Larchbury Road, now", [("address", "363 Larchbury Road")]), ("", []), (None, []),
+    ]
+    df = spark.createDataFrame([("t", i, t) for i, (t, _) in enumerate(cases)], "item_table string, item_id bigint, text string")
+    got: dict[int, list] = {}
+    for r in personal_data.detect(df, trees).orderBy("start_pos").collect():
+        got.setdefault(r["item_id"], []).append((r["pii_type"], cases[r["item_id"]][0][r["start_pos"] - 1 : r["end_pos"]]))
+    assert [(t, got.get(i)) for i, (t, want) in enumerate(cases) if got.get(i, []) != want] == []
+    out = {r["item_id"]: r["redacted"] for r in personal_data.redact(df, trees).collect()}
+    assert out[0] == "Oddzwońcie na [PHONE] jeszcze dziś." and out[13] is None and out[1] == cases[1][0]
+
+
+# tokens
+
+
+def test_tree_equals_encoding_at_once():
+    encode = tokenizing.encoder(f"{tokenizing.TOKENIZER_DIR}/{tokenizing.VOCABULARY}").encode_ordinary
+    rng = random.Random(1)
+    bits = ["'", "l", "'l", "ll", "ve", " ", "  ", "\n", "a", "I", "12", "é", "漢", "'re", "!", "\t", "😀", "<|endoftext|>"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        assert tokenizing.encode_text(text, encode, rng.choice([1, 2, 3, 5, 8, 50])) == encode(text)
+    assert tokenizing.encode_text(None, encode) == tokenizing.encode_text("", encode) == []
+
+
+def test_ids_are_those_of_the_other_library(spark):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(f"{tokenizing.TOKENIZER_DIR}/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    docs = tokenizing.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in tokenizing.encode_corpus(docs, leaf_chars=100).collect():
+        assert r["ids"] == other.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+# leaks
+
+
+def holds(item, doc):
+    """The rule itself, by dynamic programming over all windows."""
+    n, m = len(item), len(doc)
+    for a in range(n):
+        for b in range(m):
+            k = 0
+            while a + k < n and b + k < m and item[a + k] == doc[b + k]:
+                k += 1
+            if k >= leak_index.EXACT:
+                return True
+    for s in range(n - leak_index.FUZZY + 1):
+        row = [0] * (m + 1)
+        for k in range(min(leak_index.REACH, n - s)):
+            new = [row[0] - 4] + [max(row[j] + (1 if doc[j] == item[s + k] else -4), row[j + 1] - 4) for j in range(m)]
+            for j in range(1, m + 1):
+                new[j] = max(new[j], new[j - 1] - 5)
+            row = new
+            if k + 1 >= leak_index.FUZZY and max(row) >= 0:
+                return True
+    return False
+
+
+def test_leaks_equal_the_rule(spark, monkeypatch):
+    monkeypatch.setattr(leak_index, "SHARD_WORDS", 400)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(words) for _ in range(rng.randint(8, 45))] for _ in range(12)]
+    docs = []
+    for _ in range(120):
+        doc = [rng.choice(words + ["zz"]) for _ in range(rng.randint(0, 20))]
+        item = rng.choice(items)
+        a = rng.randrange(len(item))
+        part = list(item[a : a + rng.randint(8, 40)])
+        for _ in range(rng.randint(0, 6)):
+            if part:
+                k = rng.randrange(len(part))
+                part[k : k + 1] = rng.choice([[], ["yy"], [part[k], "yy"]])
+        docs.append(doc + part + [rng.choice(words) for _ in range(rng.randint(0, 10))])
+    df = spark.createDataFrame([(i, "**" + ", ".join(w.upper() for w in d) + "**") for i, d in enumerate(docs)] + [(900, None), (901, "")], "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(90, None)], "item_id bigint, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in leak_index.leaks(df, it).collect()}
+    assert got == {(i, d) for i, t in enumerate(items) for d, x in enumerate(docs) if holds(t, x)}
+    spans = leak_index.removal_spans(df, it).collect()
+    assert {r["doc_id"] for r in spans} == {d for _, d in got} and all(r["start_pos"] <= r["end_pos"] for r in spans)
+
+
+def test_index_finds_every_place():
+    rng = np.random.default_rng(0)
+    text = rng.integers(1, 5, size=500).astype(np.int32)
+    index = leak_index.FmIndex(text, 6)
+    phrases = np.array([[a, b, c] for a in range(1, 5) for b in range(1, 5) for c in range(1, 5)], dtype=np.int32)
+    low, high = index.search(phrases)
+    for p, a, b in zip(phrases, low, high):
+        assert sorted(index.locate(np.arange(a, b))) == [k for k in range(498) if (text[k : k + 3] == p).all()]
+
+
+# severity
+
+
+def test_evasive_spellings():
+    for text in ("ty idioto", "ty i.d.i.o.t.o", "ty i d i o t o", "ty id​ioto", "ty 1d10to", "ty 0d00t0", "ty іdіоtо", "ty iiidioto"):
+        found = severity.features(text)
+        assert severity.NAMES.index("insult") in found, text
+    assert severity.DENSE - 2 in severity.features("spieprzaj, b******e")
+    assert severity.features("...") is None
+
+
+def test_severity(spark):
+    documents, votes = severity.table(spark, SF, "documents"), severity.table(spark, SF, "review_labels")
+    fitted = severity.fit(documents, votes)
+    cases = [("Zamknij się, idioto, nikt cię tu nie pytał.", True), ("I hope you choke on your own keyboard, moron.", True), ("Zabij proces potomny i usuń osierocone wątki.", False), ("Pole płeć (sex) w formularzu jest wymagane.", False), ("This dumb terminal has a stupid default, my own mistake, sorry.", False), ("Jak mogę zmienić hasło?", False), ("", False), (None, False), ("Nie mogę nic zrobić od rana i program ciągle się zawiesza przy starcie zamknij się, idioto, nikt cię tu nie pytał", True)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in severity.score(df, fitted, ["doc_id"]).collect()}
+    assert [(t, got[i]["severity"]) for i, (t, want) in enumerate(cases) if got[i]["flagged"] != want] == []
+    assert all(0 <= r["severity"] <= 2 for r in got.values()) and got[6]["severity"] == got[7]["severity"] == 0
+
+
+def test_held_out_votes(spark):
+    documents, votes = severity.table(spark, "/root/testdata/sf0.1", "documents"), severity.table(spark, "/root/testdata/sf0.1", "review_labels")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    fitted = severity.fit(documents, votes.where(~held))
+    grades = {r["doc_id"]: r["grade"] for r in severity.graded(votes.where(held)).collect()}
+    got = severity.score(documents.where(held), fitted, ["doc_id"]).collect()
+    judged = [(r["flagged"], grades[r["doc_id"]]) for r in got if grades.get(r["doc_id"]) in (0, 2)]
+    assert sum(f == (g > 0) for f, g in judged) / len(judged) >= 0.85
+
+
+def test_grades(spark):
+    votes = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0), (4, None)], "doc_id bigint, toxic int")
+    assert sorted(map(tuple, severity.graded(votes).collect())) == [(1, 1), (2, 2), (3, 0)]

@@ -1,0 +1,22 @@
+"""Every query of the subpackage against its SQL, and on empty and odd tables."""
+
+import pytest
+
+from conftest import DATA
+from helpdex.llm.registry import QUERIES, SQL
+from test_catalogue import compare
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, name):
+    compare(spark, QUERIES, SQL, name, DATA)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, empty_dir, name):
+    assert QUERIES[name](spark, empty_dir).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_odd_tables(spark, odd_dir, name):
+    QUERIES[name](spark, odd_dir).collect()
