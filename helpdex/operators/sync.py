@@ -45,4 +45,4 @@ def merged(stored: DataFrame, planned: DataFrame, fresh: DataFrame) -> DataFrame
     written = fresh.select("path").distinct()
     replaced = planned.where(F.col("action").isin(INSERT, UPDATE)).join(written, "path", "left_semi").select("path")
     dropped = planned.where(F.col("action") == DELETE).select("path").unionByName(replaced)
-    return stored.join(dropped, "path", "left_anti").unionByName(fresh.join(replaced, "path", "left_semi"))
+    return stored.select(*fresh.columns).join(dropped, "path", "left_anti").unionByName(fresh.join(replaced, "path", "left_semi"))
