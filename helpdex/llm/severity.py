@@ -122,8 +122,8 @@ def words_of(sentence: str) -> tuple[list[str], bool, bool]:
                 continue
         word, changed = undone(token)
         undid |= changed
-        if changed and "0" in token:
-            bones = skeleton(folded(token))
+        if changed and any(c in "0134" for c in token):
+            bones = skeleton(folded(word))
             word = next((stem for shape, stem in SKELETONS if bones.startswith(shape)), word)
         out.append(folded(word))
     return out, undid, masked
@@ -136,7 +136,7 @@ def units(text: str) -> Iterator[str]:
     """Sentences of a text; of a long one, overlapping windows of SPAN words, as sentences may follow without a stop."""
     for sentence in SENTENCE.split(text):
         words = sentence.split()
-        if len(words) <= SPAN + SPAN // 2:
+        if len(words) <= SPAN + 2:
             yield sentence
         else:
             for k in range(0, len(words) - SPAN // 2, SPAN // 2):
@@ -294,7 +294,7 @@ class Scorer:
         return got
 
     def text(self, text: str | None) -> float:
-        return max(map(self.sentence, units(re.sub(r"\d\d+", "0", text))), default=-30.0) if text else -30.0
+        return max(map(self.sentence, units(re.sub(r"\d{3,}", "0", text))), default=-30.0) if text else -30.0
 
 
 def score(documents: DataFrame, model: Severity, keys: list[str]) -> DataFrame:
