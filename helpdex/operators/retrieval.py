@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helpdex.operators.chunking import TEXT
-from helpdex.plans.skew import HEAVY_SHARE
 
 TOP_K, BODY_PARTS = 5, 3
 #: Entries and questions that meet in one task.
 ENTRY_BLOCK, QUESTION_BLOCK = 20_000, 2_000
+#: Blocks whose results are merged first.
+BAND = 256
 #: Decimals of a score: equal texts must tie whatever the order of summation.
 DECIMALS = 9
 
-HITS = "qid bigint, path string, score double, parts array<struct<score: double, ord: int, text: string>>"
+HITS = "qid bigint, path string, score double, band bigint, parts array<struct<score: double, ord: int, text: string>>"
 
 
 def _block_ranks(questions: pd.DataFrame, entries: pd.DataFrame, top_k: int) -> pd.DataFrame:
     """The best documents of one block for each question, with the best body texts of each (also of all large documents)."""
     out: list[tuple] = []
     if len(questions) and len(entries):
+        band = int(entries["eb"].iloc[0]) // BAND if "eb" in entries else 0
         entries = entries.sort_values(["path", "ord"], kind="stable")
         x = np.stack(entries["vec"].to_numpy()).astype(np.float64)
         path, ord_, text = entries["path"].to_numpy(), entries["ord"].to_numpy(), entries["text"].to_numpy()
@@ -40,8 +42,8 @@ def _block_ranks(questions: pd.DataFrame, entries: pd.DataFrame, top_k: int) ->
                     at = np.arange(starts[d], ends[d])
                     at = at[is_text[at]]
                     at = at[np.lexsort((ord_[at], -row[at]))][:BODY_PARTS]
-                    out.append((questions["qid"].iloc[k + i], path[starts[d]], float(best[d]), [(float(row[j]), int(ord_[j]), text[j]) for j in at]))
-    return pd.DataFrame(out, columns=["qid", "path", "score", "parts"])
+                    out.append((questions["qid"].iloc[k + i], path[starts[d]], float(best[d]), band, [(float(row[j]), int(ord_[j]), text[j]) for j in at]))
+    return pd.DataFrame(out, columns=["qid", "path", "score", "band", "parts"])
 
 
 def retrieve(questions: DataFrame, entries: DataFrame, top_k: int = TOP_K) -> DataFrame:
@@ -56,21 +58,31 @@ def retrieve(questions: DataFrame, entries: DataFrame, top_k: int = TOP_K) -> Da
     asked = questions.select("qid", "qvec").where(F.col("qid").isNotNull() & F.col("qvec").isNotNull())
     sizes = usable.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # fewer than HEAVY_SHARE paths can be that large
-    heavy = sizes.where((F.col("n") * HEAVY_SHARE > F.lit(total)) & (F.col("n") > F.lit(ENTRY_BLOCK // 100))).select("path", F.lit(True).alias("large"))
+    half = max(1, ENTRY_BLOCK // 2)
+    large = sizes.where(F.col("n") > half).select("path", F.ceil(F.col("n") / half).alias("slices"))
     blocks, question_blocks = max(1, -(-total // ENTRY_BLOCK)), max(1, -(-asked.count() // QUESTION_BLOCK))
-    marked = usable.join(F.broadcast(heavy), "path", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    # a large document takes as many blocks as it fills
+    slice_ = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("ord", "kind", "text"), F.col("slices"))).otherwise(F.lit(0))
     placed = (
-        marked.withColumn("eb", F.pmod(F.xxhash64("path", F.when(F.col("large"), F.col("ord")).otherwise(F.lit(0))), F.lit(blocks)).cast("int"))
+        usable.join(large, "path", "left")
+        .withColumn("large", F.col("slices").isNotNull())
+        .withColumn("eb", F.pmod(F.pmod(F.xxhash64("path"), F.lit(blocks)) + slice_, F.lit(blocks)).cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1))))
         .withColumn("width", width)
     )
     spread = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(question_blocks)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("width", F.size("qvec"))
     keys = ["eb", "qb", "width"]
     ranked = spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(lambda q, e: _block_ranks(q, e, top_k), HITS)
-    docs = ranked.groupBy("qid", "path").agg(F.max("score").alias("score"), F.flatten(F.collect_list("parts")).alias("parts"))
+
+    def best_parts(parts: Column) -> Column:
+        return F.slice(F.sort_array(F.flatten(F.collect_list(parts)), asc=True), 1, BODY_PARTS)
+
+    # in two steps, so that no list grows with the number of blocks
+    turned = ranked.withColumn("parts", F.transform("parts", lambda p: F.struct((-p["score"]).alias("s"), p["ord"].alias("ord"), p["text"].alias("text"))))
+    bands = turned.groupBy("qid", "path", "band").agg(F.max("score").alias("score"), best_parts(F.col("parts")).alias("parts"))
+    docs = bands.groupBy("qid", "path").agg(F.max("score").alias("score"), best_parts(F.col("parts")).alias("parts"))
     top = docs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))).where(F.col("rank") <= top_k)
-    best = F.slice(F.transform(F.array_sort(F.transform("parts", lambda p: F.struct((-p["score"]).alias("s"), p["ord"].alias("ord"), p["text"].alias("text")))), lambda p: F.struct(p["ord"].alias("ord"), p["text"].alias("text"))), 1, BODY_PARTS)
+    best = F.transform("parts", lambda p: F.struct(p["ord"].alias("ord"), p["text"].alias("text")))
     body = F.array_join(F.transform(F.array_sort(best), lambda p: p["text"]), "\n\n")
     return top.select("qid", "rank", "path", "score", body.alias("text"))
 
