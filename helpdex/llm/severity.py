@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -114,21 +115,42 @@ def words_of(sentence: str) -> tuple[list[str], bool, bool]:
         undid = True
     out, masked = [], False
     for token in TOKEN.findall(clean):
-        if "*" in token:
-            m = re.fullmatch(r"([^\W\d_]+)(\*{2,})([^\W\d_]*)", token)
-            if m:
-                masked = True
-                out.append("masked")
-                continue
-        word, changed = undone(token)
+        word, changed, hides = read(token)
         undid |= changed
-        if changed and any(c in "0134" for c in token):
-            bones = skeleton(folded(word))
-            word = next((stem for shape, stem in SKELETONS if bones.startswith(shape)), word)
-        out.append(folded(word))
+        masked |= hides
+        out.append(word)
     return out, undid, masked
 
 
+@lru_cache(maxsize=200_000)
+def read(token: str) -> tuple[str, bool, bool]:
+    """The folded word a token stands for, whether its spelling was evasive, and whether its letters are masked."""
+    if "*" in token and re.fullmatch(r"([^\W\d_]+)(\*{2,})([^\W\d_]*)", token):
+        return "masked", False, True
+    word, changed = undone(token)
+    if changed and any(c in "0134" for c in token):
+        bones = skeleton(folded(word))
+        word = next((stem for shape, stem in SKELETONS if bones.startswith(shape)), word)
+    return folded(word), changed, False
+
+
+@lru_cache(maxsize=200_000)
+def traits(word: str) -> tuple[str, frozenset[str], tuple[int, ...]]:
+    """A folded word with letters single, the families it belongs to, and its hashed features."""
+    thin = single(word)
+    families = frozenset(n for n in NAMES if (thin in STEMS[n] if n == "you" else STEM_PATTERNS[n].match(thin)))
+    name = named(word)
+    return thin, families, tuple(hashed(g) for g in ([f"w {name}", f"s {name[:5]}"] if len(name) > 5 else [f"w {name}"]))
+
+
+def named(word: str) -> str:
+    return "0" if any(map(str.isdigit, word)) else word
+
+
+def hashed(gram: str) -> int:
+    return DENSE + xxhash.xxh32_intdigest(gram) % BUCKETS
+
+
 SKELETONS = tuple((skeleton(w), w) for n in ("insult", "curse") for w in STEMS[n] if len(w) > 3)
 
 
@@ -148,25 +170,18 @@ def features(sentence: str) -> list[int] | None:
     words, undid, masked = words_of(sentence)
     if not words:
         return None
-    thin = [single(w) for w in words]
-    joined = " " + " ".join(thin) + " "
-    has = set()
-    for name in NAMES:
-        if name == "you":
-            hit = any(w in STEMS["you"] for w in thin)
-        else:
-            hit = any((m := STEM_PATTERNS[name].match(w)) is not None for w in thin)
-        if hit or any(" " + p in joined for p in PHRASES[name]):
-            has.add(name)
+    known = [traits(w) for w in words]
+    joined = " " + " ".join(t for t, _, _ in known) + " "
+    has = set().union(*(f for _, f, _ in known))
+    has |= {name for name in NAMES if name not in has and any(" " + p in joined for p in PHRASES[name])}
     out = {k for k, name in enumerate(NAMES) if name in has}
     out |= {len(NAMES) + k for k, (a, b) in enumerate(PAIRS) if a in has and b in has}
     if masked:
         out.add(DENSE - 2)
     if undid and has & {"insult", "curse", "sexual"}:
         out.add(DENSE - 1)
-    named = [w if not any(map(str.isdigit, w)) else "0" for w in words]
-    grams = {f"w {w}" for w in named} | {f"s {w[:5]}" for w in named if len(w) > 5} | {f"b {a} {b}" for a, b in zip(named, named[1:])}
-    out |= {DENSE + xxhash.xxh32_intdigest(g) % BUCKETS for g in grams}
+    names = [named(w) for w in words]
+    out.update(*(g for _, _, g in known), (hashed(f"b {a} {b}") for a, b in zip(names, names[1:])))
     return sorted(out)
 
 
