@@ -63,6 +63,9 @@ EMAIL = re.compile(
     r"[\w][\w.+%-]*(?:\s*(?:@|\(at\)|\[at\]|\{at\}|\(małpa\)|\[małpa\])\s*|\s+(?:at|małpa|malpa)\s+)[\w-]+(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.|\s\.\s)[\w-]+)*(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.)[a-z]{2,10}(?![\w])",
     re.I,
 )
+#: What an address without @ has in its place, and whether there is a digit at all.
+AT_WORD = re.compile(r"[(\[{\s](?:at|malpa)[)\]}\s]")
+DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"(?<![\w+(/])(?:\+|00)?\s?\(?\d[\d ().\- /]{4,20}\d(?!\w)")
 NUMBERS = re.compile(
     r"(?<!\w)(?:\d{6}[ -]?\d{5}|[a-z]{3}[ -]?\d{6}|[a-z]{2}[ -]?\d{7}|\d{3}[ -]\d{2}[ -]\d{4}|[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]|[a-z]\d{2}[a-z0-9]\d{5}|\d{6}/\d{3,4}|\d{8}-?[a-z]|[xyz]-?\d{7}-?[a-z]|\d{2} ?\d{6} ?[a-z] ?\d{3}|\d{10})(?!\w)",
@@ -82,16 +85,23 @@ WORDS = re.compile(NAME_PART)
 LETTERS = str.maketrans("łŁđĐøØ", "lLdDoO")
 
 
-def folded(text: str) -> str:
-    """Lower case without diacritics, of the same length."""
-    if text.isascii():
-        return text.lower()
-    out = []
-    for c in text.translate(LETTERS):
+class Folding(dict):
+    """Maps code points to one folded character each, worked out when first met."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point).translate(LETTERS)
         d = unicodedata.normalize("NFD", c)[0] if not ("Ѐ" <= c <= "ӿ") else c
         low = d.lower()
-        out.append("s" if c in "ßẞ" else low if len(low) == 1 else d)
-    return "".join(out)
+        self[point] = "s" if c in "ßẞ" else low if len(low) == 1 else d
+        return self[point]
+
+
+FOLDED = Folding()
+
+
+def folded(text: str) -> str:
+    """Lower case without diacritics, of the same length."""
+    return text.lower() if text.isascii() else text.translate(FOLDED)
 
 
 CUE = {k: re.compile(v) for k, v in CUES.items()}
@@ -108,9 +118,9 @@ AT = {name: k for k, name in enumerate(FEATURES)}
 def propose(text: str, low: str) -> list[tuple[int, int, int]]:
     """(type, start, end) of every candidate; 0-based, overlapping."""
     out: set[tuple[int, int, int]] = set()
-    if "@" in text or "at" in low or "malpa" in low:
+    if "@" in text or AT_WORD.search(low):
         out |= {(0, *m.span()) for m in EMAIL.finditer(text)}
-    if any(c.isdigit() for c in text):
+    if DIGIT.search(text):
         for m in DIGITS.finditer(text):
             a, b = m.span()
             a += len(m.group()) - len(m.group().lstrip())
