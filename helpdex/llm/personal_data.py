@@ -316,7 +316,8 @@ def fit(items: DataFrame, sample_items: int = SAMPLE_ITEMS) -> Trees:
     total = known.count()
     share = min(1.0, sample_items / max(total, 1))
     sample = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    spans = training_spans(sample).repartition(6).cache()
+    # sorted, so that the same rows give the same trees; the sample bounds their number
+    spans = training_spans(sample).repartition(6, "features").sortWithinPartitions("features", "label", "held_out").cache()
     try:
         grown = spans.where("not held_out")
         kinds = {r["label"] for r in grown.select("label").distinct().collect()}
