@@ -1,13 +1,13 @@
 """Most similar vectors by additive quantisation.
 
-Every vector is written as a sum of LEVELS codewords, one from each of LEVELS full-dimensional residual codebooks, found
-by beam search; codes and the norm of their sum are stored. Two searches use them:
-
-* ``near_pairs`` (similarity join): the BEAM best partial codes of a vector are the cells it is listed in, so similar
-  vectors meet in a cell; pairs of a cell are scored from their codes by looking the codewords up, and what passes is
-  ranked again with the exact vectors. No vector is compared with all others. Cells that hold more than CELL vectors
-  are refined by deeper codes; where the codes are used up, the cell is compared in blocks, exactly and spread over
-  tasks.
+A vector is written as a sum of LEVELS codewords, one from each of LEVELS full-dimensional residual codebooks, found by
+beam search; codes and the norm of their sum are used. Two searches:
+
+* ``near_pairs`` (similarity join): the codewords of a single larger level are the cells. A vector is listed in its best
+  cell and those almost as good, so similar vectors meet in a cell; within a cell all pairs are scored exactly and only
+  the best of each vector leave the task. Codewords that are much alike are one cell, so no boundary runs through a
+  dense group; cells that hold more than CELL vectors are compared in blocks, spread over tasks. A dense group thus
+  costs the square of its size in products of vectors, and rows in proportion to its size times its blocks.
 * ``nearest`` (a stated query set against all rows): tables of the products of each query with all codewords score every
   code of a block by lookups, the best are ranked again exactly.
 
@@ -20,7 +20,6 @@ ids and kinds; ids written twice count once; length doesn't matter; ties go to t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +34,13 @@ from helpdex.plans.skew import cut, join_to_groups
 from helpdex.sources.tables import table
 
 DIMS, LEVELS, WORDS, BEAM = 64, 8, 256, 8
-SAMPLE, CELL, PER_CELL = 16_000, 4_000, 40
-TOP = 5
-#: Least similarity of two quantised vectors whose exact similarity is worth a look; see recall in the tests.
-LOOSE = 0.5
+SAMPLE, TOP = 16_000, 5
+#: Cells of the join at most, rows of the sample for each, entries of a cell that is compared at once, rows of a tile.
+CELLS, PER_CELL, CELL, TILE = 1_024, 16, 24_000, 2_000
+#: Codewords so alike are one cell; a vector is listed in cells so much worse than its best; see recall in the tests.
+MERGE, MARGIN = 0.8, 0.12
+#: Candidates kept beyond ``top`` until they are ranked in double precision.
+SPARE = 3
 QUERY_BLOCK, ROW_BLOCK, RERANK = 4_000, 50_000, 400
 
 
@@ -60,12 +62,11 @@ def fit(sample: np.ndarray, levels: int = LEVELS, words: int = WORDS, rounds: in
     return np.array(books)
 
 
-def beam_search(x: np.ndarray, books: np.ndarray, beam: int, keep_at: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``(best, partial)``: the best full code of each vector and its ``beam`` best codes of the first ``keep_at`` levels."""
+def beam_search(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
+    """The best code of each vector, found with ``beam`` partial codes at a time."""
     n = len(x)
     codes, error, rest = np.zeros((n, 1, 0), dtype=np.int16), np.zeros((n, 1), dtype=np.float32), x[:, None, :]
-    partial = codes
-    for level, book in enumerate(books):
+    for book in books:
         paths = rest.shape[1]
         product = (rest.reshape(n * paths, -1) @ book.T).reshape(n, paths, -1)
         cost = (error[:, :, None] + (book * book).sum(axis=1) - 2 * product).reshape(n, -1)
@@ -76,9 +77,7 @@ def beam_search(x: np.ndarray, books: np.ndarray, beam: int, keep_at: int = 0) -
         path, word = best // len(book), best % len(book)
         codes = np.concatenate([np.take_along_axis(codes, path[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
         rest = np.take_along_axis(rest, path[:, :, None], axis=1) - book[word]
-        if level + 1 == keep_at:
-            partial = codes
-    return codes[:, 0, :].astype(np.uint8), partial
+    return codes[:, 0, :].astype(np.uint8)
 
 
 def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -115,75 +114,150 @@ def unit_vectors(chunks: DataFrame) -> DataFrame:
     return usable.mapInArrow(run, "id bigint, kind string, key string, unit array<float>")
 
 
-def codebooks(units: DataFrame, id_col: str, sample: int = SAMPLE) -> np.ndarray | None:
-    """Codebooks fitted on about ``sample`` rows of (id_col, unit); None without rows."""
+def drawn(units: DataFrame, id_col: str, sample: int = SAMPLE) -> np.ndarray | None:
+    """About ``sample`` rows of (id_col, unit) as a matrix; None without rows."""
     total = units.count()
     share = min(1.0, sample / max(total, 1))
     rows = units.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000)))).select(id_col, "unit").collect()
     if not rows and total:
         rows = units.select(id_col, "unit").limit(sample).collect()
-    return fit(np.array([r["unit"] for r in sorted(rows)], dtype=np.float32)) if rows else None
+    return np.array([r["unit"] for r in sorted(rows)], dtype=np.float32) if rows else None
+
 
+def codebooks(units: DataFrame, id_col: str, sample: int = SAMPLE) -> np.ndarray | None:
+    """Codebooks fitted on about ``sample`` rows of (id_col, unit); None without rows."""
+    rows = drawn(units, id_col, sample)
+    return None if rows is None else fit(rows)
 
-def cell_depth(total: int, words: int) -> int:
-    """Levels of a cell's code, so that the number of cells keeps up with that of the vectors."""
-    return max(1, min(LEVELS - 2, math.ceil(math.log(max(total, PER_CELL + 1) / PER_CELL) / math.log(max(words, 2)))))
 
+def centres(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(words, cell)``: the unit codewords of a one-level codebook and the cell of each, in the order of the cells.
 
-def listed(reps: DataFrame, books: np.ndarray, depth: int) -> DataFrame:
-    """(kind, cell, rep, code): every vector in its BEAM cells of ``depth`` levels, with its full code."""
-    shared = reps.sparkSession.sparkContext.broadcast(books)
+    Codewords MERGE or more alike are one cell: codewords crowd into a dense group, and boundaries inside it would part
+    its vectors from their nearest ones.
+    """
+    words = fit(sample, levels=1, words=min(CELLS, max(1, len(sample) // PER_CELL)))[0]
+    words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
+    alike, used = words @ words.T, np.bincount((sample @ words.T).argmax(axis=1), minlength=len(words))
+    cell, heads = np.zeros(len(words), dtype=np.int32), []
+    for i in np.argsort(-used, kind="stable"):
+        near = int(np.argmax(alike[i, heads])) if heads else -1
+        if near >= 0 and alike[i, heads[near]] >= MERGE:
+            cell[i] = near
+        else:
+            cell[i] = len(heads)
+            heads.append(i)
+    order = np.argsort(cell, kind="stable")
+    return words[order], cell[order]
+
+
+def listed(reps: DataFrame, words: np.ndarray, cell: np.ndarray) -> DataFrame:
+    """(kind, rep, unit, cells): every vector with its best cell and those within MARGIN of it, BEAM at most."""
+    shared = reps.sparkSession.sparkContext.broadcast((words, np.flatnonzero(np.diff(cell, prepend=-1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, starts = shared.value
+        most = min(BEAM, len(starts))
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                part = batch.slice(k, 2_000)
-                full, partial = beam_search(matrix(part.column("unit")), shared.value, BEAM, depth)
-                beams = partial.shape[1]
-                cells = [p.tobytes() for p in np.ascontiguousarray(partial.astype(np.uint8)).reshape(-1, depth)]
-                at = pa.array(np.repeat(np.arange(part.num_rows), beams))
-                codes = pa.array([c.tobytes() for c in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("kind").take(at), pa.array(cells, pa.binary()), part.column("rep").take(at), codes.take(at)], ["kind", "cell", "rep", "code"])
-
-    return reps.select("kind", "rep", "unit").mapInArrow(run, "kind string, cell binary, rep bigint, code binary")
+            x, sizes, cells = matrix(batch.column("unit")), [], []
+            for k in range(0, len(x), 2_000):
+                score = np.maximum.reduceat(x[k : k + 2_000] @ words_.T, starts, axis=1)
+                least = np.maximum(score.max(axis=1) - MARGIN, np.partition(score, len(starts) - most, axis=1)[:, len(starts) - most])
+                row, column = np.nonzero(score >= least[:, None])
+                sizes.append(np.bincount(row, minlength=len(score)))
+                cells.append(column)
+            ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *cells]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("rep"), batch.column("unit"), lists], ["kind", "rep", "unit", "cells"])
+
+    return reps.select("kind", "rep", "unit").mapInArrow(run, "kind string, rep bigint, unit array<float>, cells array<int>")
+
+
+class Best:
+    """The ``top`` best partners of each of ``n`` vectors so far; ``floor`` is what a further one must reach."""
+
+    def __init__(self, n: int, least: float, top: int) -> None:
+        self.top, self.floor = top, np.full(n, least, dtype=np.float32)
+        self.kept, self.waiting = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))], 0
+
+    def add(self, score: np.ndarray, own_at: int, other_at: int, axis: int = 0) -> None:
+        """Take what counts of the scores of a tile, its own vectors along ``axis``."""
+        n, others = score.shape[axis], score.shape[1 - axis]
+        floor = self.floor[own_at : own_at + n]
+        good = score >= np.expand_dims(floor, 1 - axis)
+        if others > self.top and np.count_nonzero(good) > 2 * self.top * n:
+            np.maximum(floor, np.partition(score, others - self.top, axis=1 - axis).take(others - self.top, axis=1 - axis), out=floor)
+            good = score >= np.expand_dims(floor, 1 - axis)
+        at = np.nonzero(good)
+        if len(at[0]):
+            self.kept.append((at[axis] + own_at, at[1 - axis] + other_at, score[at]))
+            self.waiting += len(at[0])
+            if self.waiting > 2 * self.top * len(self.floor):
+                self.prune()
+
+    def prune(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the best and raise the floors; (own, other) of what is kept."""
+        own, other, score = (np.concatenate(c) for c in zip(*self.kept))
+        order = np.lexsort((-score, own))
+        own, other, score = own[order], other[order], score[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        last = place == self.top - 1
+        self.floor[own[last]] = score[last]
+        self.kept, self.waiting = [tuple(c[place < self.top] for c in (own, other, score))], 0
+        return self.kept[0][:2]
+
+
+def best_within(x: np.ndarray, y: np.ndarray | None, least: float, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(own, other) of the best partners of every row of ``x`` in ``y`` and the reverse; ``y`` None: of ``x`` in itself."""
+    same = y is None
+    y = x if same else y
+    ours = Best(len(x), least, top)
+    theirs = ours if same else Best(len(y), least, top)
+    for i in range(0, len(x), TILE):
+        for j in range(i if same else 0, len(y), TILE):
+            score = x[i : i + TILE] @ y[j : j + TILE].T
+            if same and i == j:
+                np.fill_diagonal(score, -2)
+            else:
+                theirs.add(score, j, i, axis=1)
+            ours.add(score, i, j)
+    return [ours.prune()] if same else [ours.prune(), theirs.prune()]
 
 
-def scored_cells(entries: DataFrame, books: np.ndarray, loose: float) -> DataFrame:
-    """(a, b), a < b, of the pairs within a cell (kind, cell, left, right) whose codes are ``loose`` or more alike.
+def scored_cells(entries: DataFrame, least: float, top: int) -> DataFrame:
+    """(a, b, cosine) of the ``top`` vectors most like ``a`` within each cell (kind, cell, left, right), ``least`` or more.
 
     ``left`` and ``right`` name blocks of an oversized cell; an entry stands in its own block (left = right) or, as a
-    partner, in a block pair. Entries are sorted by cell, so each task reads its cells one after another.
+    partner, in a block pair. Entries are sorted by cell, so each task reads its cells one after another. Whatever is
+    among the best of all cells is among the best of its own, so only these short lists leave the task.
     """
-    shared = entries.sparkSession.sparkContext.broadcast(books)
 
-    def pairs(table_: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer(b"".join(table_.column("code").to_pylist()), dtype=np.uint8).reshape(table_.num_rows, -1)
-        x = decoded(codes, shared.value)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)  # the stored norms
+    def ranked(x: np.ndarray, rep: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v = x[own].astype(np.float64), x[other].astype(np.float64)
+        cosine = np.minimum((u * v).sum(axis=1) / np.maximum(np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1), 1e-300), 1.0)
+        order = np.lexsort((rep[other], -cosine, own))
+        own, other, cosine = own[order], other[order], cosine[order]
+        good = (np.arange(len(own)) - np.searchsorted(own, own) < top) & (cosine >= least)
+        return rep[own[good]], rep[other[good]], cosine[good]
+
+    def links(table_: pa.Table) -> pa.RecordBatch:
+        x = matrix(table_.column("unit").combine_chunks() if table_.num_rows else pa.array([], pa.list_(pa.float32())))
         rep = table_.column("rep").to_numpy()
-        own, left, right = (table_.column(c).to_numpy() for c in ("block", "left", "right"))
+        block, left, right = (table_.column(c).to_numpy() for c in ("block", "left", "right"))
         names = table_.column("group").to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
-        out_a, out_b = [], []
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s < 2:
                 continue
             if left[s] == right[s]:
-                i, j = np.nonzero(x[s:e] @ x[s:e].T >= loose)
-                m = i < j
-                i, j = i[m] + s, j[m] + s
+                for own, other in best_within(x[s:e], None, least - 1e-5, top + SPARE):
+                    out.append(ranked(x[s:e], rep[s:e], own, other))
             else:
-                first = np.arange(s, e)[own[s:e] == left[s]]
-                second = np.arange(s, e)[own[s:e] == right[s]]
-                i, j = np.nonzero(x[first] @ x[second].T >= loose)
-                i, j = first[i], second[j]
-            out_a.append(np.minimum(rep[i], rep[j]))
-            out_b.append(np.maximum(rep[i], rep[j]))
-        none = np.zeros(0, dtype=np.int64)
-        a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        return a, b
+                first, second = np.arange(s, e)[block[s:e] == left[s]], np.arange(s, e)[block[s:e] == right[s]]
+                (i, j), (k, m) = best_within(x[first], x[second], least - 1e-5, top + SPARE)
+                out += [ranked(x, rep, first[i], second[j]), ranked(x, rep, second[k], first[m])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -198,82 +272,41 @@ def scored_cells(entries: DataFrame, books: np.ndarray, loose: float) -> DataFra
                 names = whole.column("group").to_numpy()
                 end = int(np.flatnonzero(names != names[-1])[-1]) + 1 if names[0] != names[-1] else 0
                 if end:
-                    a, b = pairs(whole.slice(0, end))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield links(whole.slice(0, end))
                 kept = whole.slice(end).to_batches()
                 size = whole.num_rows - end
         if size:
-            a, b = pairs(pa.Table.from_batches(kept).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield links(pa.Table.from_batches(kept).combine_chunks())
 
-    grouped = entries.select(F.xxhash64("kind", "cell", "left", "right").alias("group"), "rep", "code", "block", "left", "right")
+    grouped = entries.select(F.xxhash64("kind", "cell", "left", "right").alias("group"), "rep", "unit", "block", "left", "right")
     spread = grouped.repartition("group").sortWithinPartitions("group", "rep")
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def refined(entries: DataFrame, reps: DataFrame, books: np.ndarray, depth: int) -> DataFrame:
-    """(kind, cell, rep, code, block, left, right) with cells of at most CELL vectors, or blocks of that size.
-
-    Oversized cells get two more levels, found by beam search from the residual of the cell's own code, until the codes
-    are used up; what is still oversized is numbered into blocks and every block meets every other.
-    """
-    spark = entries.sparkSession
-    out, level = None, depth
-    while True:
-        sizes = entries.groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.where(F.col("n") > CELL))
-        plain = entries if large.isEmpty() else entries.join(large.select("kind", "cell"), ["kind", "cell"], "left_anti")
-        done = plain.select("kind", "cell", "rep", "code", *(F.lit(0).alias(c) for c in ("block", "left", "right")))
-        out = done if out is None else out.unionByName(done)
-        if large.isEmpty():
-            return out
-        crowded = join_to_groups(entries.withColumn("place", F.xxhash64("kind", "cell")), large.select(F.xxhash64("kind", "cell").alias("place"), "n"), "place", "n").drop("place")
-        if level >= LEVELS:
-            blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL).cast("int"))
-            own = crowded.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int"))
-            other = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = other.select("kind", "cell", "rep", "code", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-            return out.unionByName(met)
-        step = min(2, LEVELS - level)
-        shared = spark.sparkContext.broadcast(books)
-
-        def run(batches: Iterator[pa.RecordBatch], level=level, step=step, shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells = batch.column("cell").to_pylist()
-                codes = np.frombuffer(b"".join(cells), dtype=np.uint8).reshape(batch.num_rows, -1)
-                rest = matrix(batch.column("unit")) - decoded(codes, shared.value[: codes.shape[1]]) if len(cells) else np.zeros((0, DIMS), dtype=np.float32)
-                _, partial = beam_search(rest, shared.value[level : level + step], BEAM, step)
-                at = np.repeat(np.arange(batch.num_rows), partial.shape[1])
-                deeper = [cells[i] + p.tobytes() for i, p in zip(at, np.ascontiguousarray(partial.astype(np.uint8)).reshape(-1, step))]
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("kind").take(rows), pa.array(deeper, pa.binary()), batch.column("rep").take(rows), batch.column("code").take(rows)], ["kind", "cell", "rep", "code"])
-
-        entries = cut(crowded.select("kind", "cell", "rep", "code").join(reps.select("rep", "unit"), "rep").mapInArrow(run, "kind string, cell binary, rep bigint, code binary"))
-        level += step
-
-
-def exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, cosine) of the pairs, from the vectors themselves."""
-    first, second = reps.select(F.col("rep").alias("a"), F.col("unit").alias("x")), reps.select(F.col("rep").alias("b"), F.col("unit").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = matrix(batch.column("x")).astype(np.float64), matrix(batch.column("y")).astype(np.float64)
-            cosine = (x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-300) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.minimum(cosine, 1.0))], ["a", "b", "cosine"])
-
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, cosine double")
-
-
-def near_pairs(reps: DataFrame, least: float, loose: float = LOOSE) -> DataFrame:
-    """(a, b, cosine), a < b, of the (rep, kind, unit) rows of one kind with a cosine of ``least`` or more."""
-    books = codebooks(reps, "rep")
-    if books is None:
+    return spread.mapInArrow(run, "a bigint, b bigint, cosine double").dropDuplicates(["a", "b"])
+
+
+def blocked(lists: DataFrame) -> DataFrame:
+    """(kind, cell, rep, unit, block, left, right): each vector in its cells; every block of a cell over CELL meets every other."""
+    sizes = lists.select("kind", F.explode("cells").alias("cell")).groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > CELL))
+    entries = lists.select("kind", F.explode("cells").alias("cell"), "rep", "unit")
+    crowd_free = large.isEmpty()
+    plain = entries if crowd_free else entries.join(large.select("kind", "cell"), ["kind", "cell"], "left_anti")
+    out = plain.select("kind", "cell", "rep", "unit", *(F.lit(0).alias(c) for c in ("block", "left", "right")))
+    if crowd_free:
+        return out
+    crowded = join_to_groups(entries.withColumn("place", F.xxhash64("kind", "cell")), large.select(F.xxhash64("kind", "cell").alias("place"), "n"), "place", "n")
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    own = crowded.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = other.select("kind", "cell", "rep", "unit", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    return out.unionByName(met)
+
+
+def near_pairs(reps: DataFrame, least: float, top: int = TOP) -> DataFrame:
+    """(a, b, cosine) of the (rep, kind, unit) rows: at least the ``top`` most like ``a`` of its kind, ``least`` or more."""
+    sample = drawn(reps, "rep")
+    if sample is None:
         return reps.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
-    depth = cell_depth(reps.count(), books.shape[1])
-    entries = cut(listed(reps, books, depth))
-    candidates = scored_cells(refined(entries, reps, books, depth), books, loose)
-    return exact(candidates, reps).where(F.col("cosine") >= least)
+    return scored_cells(blocked(cut(listed(reps, *centres(sample)))), least, top)
 
 
 def similar(chunks: DataFrame, least: float, top: int = TOP) -> DataFrame:
@@ -287,9 +320,8 @@ def similar(chunks: DataFrame, least: float, top: int = TOP) -> DataFrame:
     heads = first.groupBy("kind", "key").agg(F.array_sort(F.collect_list("id")).alias("heads"))
     sizes = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
     groups = cut(sizes.join(heads, ["kind", "key"]).select(F.xxhash64("kind", "key").alias("place"), "rep", "n", "heads"))
-    links = near_pairs(reps.select("rep", "kind", "unit"), least)
-    both = links.select("a", "b", "cosine").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    nearest = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= top)
+    links = near_pairs(reps.select("rep", "kind", "unit"), least, top)
+    nearest = links.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= top)
     small = groups.where(F.col("n") <= top)
     other = (
         nearest.join(small.select(F.col("rep").alias("a"), F.explode("heads").alias("id")), "a")
@@ -329,7 +361,7 @@ def nearest(chunks: DataFrame, is_query, top: int = TOP) -> DataFrame:
         books_ = shared.value
         q, x = np.stack(queries_["unit"].to_numpy()).astype(np.float32), np.stack(rows_["unit"].to_numpy()).astype(np.float32)
         q_id, x_id = queries_["id"].to_numpy(), rows_["id"].to_numpy()
-        code = np.concatenate([beam_search(x[k : k + 2_000], books_, BEAM)[0] for k in range(0, len(x), 2_000)])
+        code = np.concatenate([beam_search(x[k : k + 2_000], books_, BEAM) for k in range(0, len(x), 2_000)])
         norm = np.maximum(np.linalg.norm(decoded(code, books_), axis=1), 1e-9).astype(np.float32)
         keep = min(len(x), max(RERANK, len(x) // 50))
         out = []

@@ -147,6 +147,27 @@ def test_similar_vectors(spark, monkeypatch, cell):
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("cell", [24_000, 1_500])
+@pytest.mark.parametrize("inside", [0.92, 0.96])
+def test_recall_in_a_dense_group(spark, monkeypatch, inside, cell):
+    monkeypatch.setattr(similar_vectors, "CELL", cell)
+    rng, n = np.random.default_rng(3), 12_000
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dense = unit(rng.normal(size=64)) + np.sqrt(1 / inside - 1) / 8 * rng.normal(size=(n // 3, 64))
+    apart = unit(rng.normal(size=(n // 3, 64)))
+    near = apart + rng.uniform(0.2, 0.48, size=(n // 3, 1)) * unit(rng.normal(size=(n // 3, 64)))
+    x = unit(np.concatenate([dense, apart, near])).astype(np.float32)
+    got = {(r["id_a"], r["id_b"]) for r in similar_vectors.similar(vectors(spark, [(i, "text", v) for i, v in enumerate(x.tolist())]), 0.9).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    want = {(min(a, b), max(a, b)) for a, row in enumerate(best.tolist()) for b in row if s[a, b] >= 0.9}
+    in_group, rest = {p for p in want if p[1] < n // 3}, {p for p in want if p[1] >= n // 3}
+    assert len(rest) > 2_000 and len(in_group) > 10_000
+    assert len(got & in_group) >= 0.99 * len(in_group) and len(got & rest) >= 0.99 * len(rest)
+    assert len(got - want) <= 0.001 * len(want)
+
+
 def test_nearest_recall(spark):
     chunks = similar_vectors.table(spark, "/root/testdata/sf0.1", "chunks")
     got: dict[int, set] = {}
