@@ -168,6 +168,13 @@ def test_recall_in_a_dense_group(spark, monkeypatch, inside, cell):
     assert len(got - want) <= 0.001 * len(want)
 
 
+def test_a_cell_gives_short_lists(spark):
+    rng, n = np.random.default_rng(4), 1_000
+    x = np.ones(64) / 8 + rng.normal(size=(n, 64)) / 100
+    pairs = similar_vectors.near_pairs(spark.createDataFrame([(i, "text", (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "rep bigint, kind string, unit array<float>"), 0.9)
+    assert pairs.groupBy("a").count().agg(F.count("a").alias("n"), F.max("count").alias("most")).first() == (n, 5)
+
+
 def test_nearest_recall(spark):
     chunks = similar_vectors.table(spark, "/root/testdata/sf0.1", "chunks")
     got: dict[int, set] = {}
