@@ -411,9 +411,9 @@ def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every question with placeholders."""
+    """Every question with placeholders; repeats of an id and text once, different texts of one id or the null id each."""
     items = question_items(spark, data_dir)
-    return redact(items, fit(items)).dropDuplicates(["item_table", "item_id"])
+    return redact(items.dropDuplicates(["item_table", "item_id", "text"]), fit(items))
 
 
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, TABLES
+from helpdex.llm.personal_data import question_items
 from helpdex.llm.registry import QUERIES, SQL
 from test_catalogue import compare
 
@@ -48,3 +49,9 @@ def test_pieces_of_null_and_shared_keys(spark, null_keys_dir):
     whole = QUERIES["p3_joined"](spark, null_keys_dir)
     by_key = lambda df: {(r["item_table"], r["item_key"]): r["count"] for r in df.groupBy("item_table", "item_key").count().collect()}
     assert by_key(starts) == by_key(whole) and by_key(starts)["chunks", None] > 1
+
+
+def test_redacted_texts_of_null_and_shared_ids(spark, null_keys_dir):
+    by_id = lambda df: {(r["item_table"], r["item_id"]): r["count"] for r in df.groupBy("item_table", "item_id").count().collect()}
+    asked = by_id(question_items(spark, null_keys_dir).distinct())
+    assert by_id(QUERIES["p5_redacted"](spark, null_keys_dir)) == asked and asked["ask_requests", None] > 1
