@@ -1,15 +1,17 @@
 """Most similar vectors by additive quantisation.
 
 A vector is written as a sum of LEVELS codewords, one from each of LEVELS full-dimensional residual codebooks, found by
-beam search; codes and the norm of their sum are used. Two searches:
-
-* ``near_pairs`` (similarity join): the codewords of a single larger level are the cells. A vector is listed in its best
-  cell and those almost as good, so similar vectors meet in a cell; within a cell all pairs are scored exactly and only
-  the best of each vector leave the task. Codewords that are much alike are one cell, so no boundary runs through a
-  dense group; cells that hold more than CELL vectors are compared in blocks, spread over tasks. A dense group thus
-  costs the square of its size in products of vectors, and rows in proportion to its size times its blocks.
-* ``nearest`` (a stated query set against all rows): tables of the products of each query with all codewords score every
-  code of a block by lookups, the best are ranked again exactly.
+beam search; its code, the norm of the sum and the cosine of vector and sum are stored. Two searches:
+
+* ``near_pairs`` (similarity join): the codewords of the first, larger level are the cells. A vector is listed in its
+  best cell and those almost as good, so similar vectors meet in a cell. Codewords that are much alike are one cell, so
+  no boundary runs through a dense group; cells that hold more than CELL vectors are compared in blocks, spread over
+  tasks. Within a cell, tables of the products of a vector with all codewords score the codes of the others by lookups;
+  every pair whose score, given how far the code is from its vector, leaves the limit within SURE standard deviations is
+  ranked again exactly, however many there are, and only the best of each vector leave the task. A dense group costs
+  the square of its size in lookups and products, and rows in proportion to its size times its blocks.
+* ``nearest`` (a stated query set against all rows): the same tables score every code of a block by lookups, the best are
+  ranked again exactly.
 
 The codebooks are fitted on at most about SAMPLE vectors (a documented bound, drawn by hash); every vector is indexed.
 Exact copies are one class for the join, so a group of copies never makes pairs of all its members.
@@ -21,6 +23,7 @@ ids and kinds; ids written twice count once; length doesn't matter; ties go to t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,9 +39,12 @@ from helpdex.sources.tables import table
 DIMS, LEVELS, WORDS, BEAM = 64, 8, 256, 8
 SAMPLE, TOP = 16_000, 5
 #: Cells of the join at most, rows of the sample for each, entries of a cell that is compared at once, rows of a tile.
-CELLS, PER_CELL, CELL, TILE = 1_024, 16, 24_000, 2_000
+CELLS, PER_CELL, CELL, TILE = 1_024, 16, 24_000, 1_024
 #: Codewords so alike are one cell; a vector is listed in cells so much worse than its best; see recall in the tests.
 MERGE, MARGIN = 0.8, 0.12
+#: Partial codes kept while a vector of the join is encoded; standard deviations allowed between a score and the truth;
+#: one in DENSE pairs of a tile from which the whole tile is ranked exactly at once, which is then cheaper.
+JOIN_BEAM, SURE, DENSE = 4, 5.0, 24
 #: Candidates kept beyond ``top`` until they are ranked in double precision.
 SPARE = 3
 QUERY_BLOCK, ROW_BLOCK, RERANK = 4_000, 50_000, 400
@@ -62,7 +68,7 @@ def fit(sample: np.ndarray, levels: int = LEVELS, words: int = WORDS, rounds: in
     return np.array(books)
 
 
-def beam_search(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
+def beam_search(x: np.ndarray, books: np.ndarray | list[np.ndarray], beam: int) -> np.ndarray:
     """The best code of each vector, found with ``beam`` partial codes at a time."""
     n = len(x)
     codes, error, rest = np.zeros((n, 1, 0), dtype=np.int16), np.zeros((n, 1), dtype=np.float32), x[:, None, :]
@@ -77,10 +83,10 @@ def beam_search(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
         path, word = best // len(book), best % len(book)
         codes = np.concatenate([np.take_along_axis(codes, path[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
         rest = np.take_along_axis(rest, path[:, :, None], axis=1) - book[word]
-    return codes[:, 0, :].astype(np.uint8)
+    return codes[:, 0, :]
 
 
-def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+def decoded(codes: np.ndarray, books: np.ndarray | list[np.ndarray]) -> np.ndarray:
     """The sums of the codewords."""
     out = books[0][codes[:, 0]].copy()
     for level in range(1, len(books)):
@@ -151,26 +157,84 @@ def centres(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[order], cell[order]
 
 
-def listed(reps: DataFrame, words: np.ndarray, cell: np.ndarray) -> DataFrame:
-    """(kind, rep, unit, cells): every vector with its best cell and those within MARGIN of it, BEAM at most."""
-    shared = reps.sparkSession.sparkContext.broadcast((words, np.flatnonzero(np.diff(cell, prepend=-1))))
+class Index(NamedTuple):
+    """The codebooks (the first one are the unit words of the cells), and the first word of each cell."""
+
+    books: list[np.ndarray]
+    starts: np.ndarray
+
+
+def indexed(sample: np.ndarray) -> Index:
+    """Codebooks fitted on ``sample``: the words of the cells, then those of what is left, level by level."""
+    words, cell = centres(sample)
+    rest = sample - words[(sample @ words.T).argmax(axis=1)]
+    return Index([words, *fit(rest, LEVELS - 1)], np.flatnonzero(np.diff(cell, prepend=-1)))
+
+
+def encoded(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(code, norm, close)`` of unit vectors: the code, the norm of its sum, and the cosine of vector and sum."""
+    code = np.concatenate([np.zeros((0, LEVELS), dtype=np.int16), *(beam_search(x[k : k + 2_000], index.books, JOIN_BEAM) for k in range(0, len(x), 2_000))])
+    total = decoded(code, index.books)
+    norm = np.maximum(np.linalg.norm(total, axis=1), 1e-9)
+    return code, norm.astype(np.float32), ((x * total).sum(axis=1) / norm).astype(np.float32)
+
+
+LISTED = ("kind", "rep", "unit", "code", "norm", "close")
+
+
+def listed(reps: DataFrame, index: Index) -> DataFrame:
+    """(kind, rep, unit, code, norm, close, cells): every vector, its code, its best cell and those within MARGIN of it, BEAM at most."""
+    shared = reps.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, starts = shared.value
-        most = min(BEAM, len(starts))
+        index_ = shared.value
+        most = min(BEAM, len(index_.starts))
         for batch in batches:
             x, sizes, cells = matrix(batch.column("unit")), [], []
             for k in range(0, len(x), 2_000):
-                score = np.maximum.reduceat(x[k : k + 2_000] @ words_.T, starts, axis=1)
-                least = np.maximum(score.max(axis=1) - MARGIN, np.partition(score, len(starts) - most, axis=1)[:, len(starts) - most])
+                score = np.maximum.reduceat(x[k : k + 2_000] @ index_.books[0].T, index_.starts, axis=1)
+                least = np.maximum(score.max(axis=1) - MARGIN, np.partition(score, len(index_.starts) - most, axis=1)[:, len(index_.starts) - most])
                 row, column = np.nonzero(score >= least[:, None])
                 sizes.append(np.bincount(row, minlength=len(score)))
                 cells.append(column)
             ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *cells]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("rep"), batch.column("unit"), lists], ["kind", "rep", "unit", "cells"])
+            code, norm, close = encoded(x, index_)
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, LEVELS), pa.int32()), pa.array(code.ravel(), pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("rep"), batch.column("unit"), codes, pa.array(norm), pa.array(close), lists], [*LISTED, "cells"])
+
+    return reps.select("kind", "rep", "unit").mapInArrow(run, "kind string, rep bigint, unit array<float>, code array<smallint>, norm float, close float, cells array<int>")
+
 
-    return reps.select("kind", "rep", "unit").mapInArrow(run, "kind string, rep bigint, unit array<float>, cells array<int>")
+class Coded(NamedTuple):
+    """Vectors of a cell: ``unit``, their codes in ``words`` (of each level those in use), and the least score that counts."""
+
+    unit: np.ndarray
+    code: np.ndarray
+    words: list[np.ndarray]
+    limit: np.ndarray
+
+    def part(self, at: np.ndarray) -> Coded:
+        return self._replace(unit=self.unit[at], code=self.code[at], limit=self.limit[at])
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Products of all words with ``queries``, level by level."""
+        return [words @ queries.T for words in self.words]
+
+    def candidates(self, tables: list[np.ndarray], start: int, stop: int) -> np.ndarray:
+        """Which vectors from ``start`` to ``stop`` (rows) can reach the limit with which queries (columns), by lookups."""
+        score = tables[0][self.code[start:stop, 0]]
+        for level in range(1, len(tables)):
+            score += tables[level][self.code[start:stop, level]]
+        return score >= self.limit[start:stop, None]
+
+
+def coded(unit: np.ndarray, code: np.ndarray, norm: np.ndarray, close: np.ndarray, books: list[np.ndarray], least: float) -> Coded:
+    """A vector x at a cosine of ``least`` from q scores least * close on the average over directions of its error, times its norm."""
+    used = [np.unique(code[:, level], return_inverse=True) for level in range(code.shape[1])]
+    close = np.minimum(close, 1.0)
+    slack = SURE * np.sqrt(max(1.0 - least * least, 0.0) * (1.0 - close * close) / (DIMS - 1))
+    return Coded(unit, np.stack([at for _, at in used], axis=1), [book[words] for book, (words, _) in zip(books, used)], ((least * close - slack) * norm - 1e-4).astype(np.float32))
 
 
 class Best:
@@ -195,6 +259,14 @@ class Best:
             if self.waiting > 2 * self.top * len(self.floor):
                 self.prune()
 
+    def take(self, own: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        """Take what counts of single pairs."""
+        good = score >= self.floor[own]
+        self.kept.append((own[good], other[good], score[good]))
+        self.waiting += int(np.count_nonzero(good))
+        if self.waiting > 2 * self.top * len(self.floor):
+            self.prune()
+
     def prune(self) -> tuple[np.ndarray, np.ndarray]:
         """Keep the best and raise the floors; (own, other) of what is kept."""
         own, other, score = (np.concatenate(c) for c in zip(*self.kept))
@@ -207,15 +279,32 @@ class Best:
         return self.kept[0][:2]
 
 
-def best_within(x: np.ndarray, y: np.ndarray | None, least: float, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(own, other) of the best partners of every row of ``x`` in ``y`` and the reverse; ``y`` None: of ``x`` in itself."""
+def best_within(x: Coded, y: Coded | None, least: float, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(own, other) of the best partners of every row of ``x`` in ``y`` and the reverse; ``y`` None: of ``x`` in itself.
+
+    The codes of ``y`` are scored with tables of ``x``, the candidates exactly.
+    """
     same = y is None
     y = x if same else y
-    ours = Best(len(x), least, top)
-    theirs = ours if same else Best(len(y), least, top)
-    for i in range(0, len(x), TILE):
-        for j in range(i if same else 0, len(y), TILE):
-            score = x[i : i + TILE] @ y[j : j + TILE].T
+    ours = Best(len(x.unit), least, top)
+    theirs = ours if same else Best(len(y.unit), least, top)
+    for i in range(0, len(x.unit), TILE):
+        queries = x.unit[i : i + TILE]
+        tables = y.tables(queries)
+        for j in range(i if same else 0, len(y.unit), TILE):
+            hit = y.candidates(tables, j, j + TILE)
+            if same and i == j:
+                hit = np.tril(hit | hit.T, -1)
+            count = np.count_nonzero(hit)
+            if not count:
+                continue
+            if count * DENSE < hit.size:
+                b, a = np.nonzero(hit)
+                score = np.einsum("ij,ij->i", queries[a], y.unit[j + b])
+                ours.take(i + a, j + b, score)
+                theirs.take(j + b, i + a, score)
+                continue
+            score = queries @ y.unit[j : j + TILE].T
             if same and i == j:
                 np.fill_diagonal(score, -2)
             else:
@@ -224,13 +313,14 @@ def best_within(x: np.ndarray, y: np.ndarray | None, least: float, top: int) ->
     return [ours.prune()] if same else [ours.prune(), theirs.prune()]
 
 
-def scored_cells(entries: DataFrame, least: float, top: int) -> DataFrame:
+def scored_cells(entries: DataFrame, index: Index, least: float, top: int) -> DataFrame:
     """(a, b, cosine) of the ``top`` vectors most like ``a`` within each cell (kind, cell, left, right), ``least`` or more.
 
     ``left`` and ``right`` name blocks of an oversized cell; an entry stands in its own block (left = right) or, as a
     partner, in a block pair. Entries are sorted by cell, so each task reads its cells one after another. Whatever is
     among the best of all cells is among the best of its own, so only these short lists leave the task.
     """
+    shared = entries.sparkSession.sparkContext.broadcast(index)
 
     def ranked(x: np.ndarray, rep: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u, v = x[own].astype(np.float64), x[other].astype(np.float64)
@@ -241,8 +331,9 @@ def scored_cells(entries: DataFrame, least: float, top: int) -> DataFrame:
         return rep[own[good]], rep[other[good]], cosine[good]
 
     def links(table_: pa.Table) -> pa.RecordBatch:
-        x = matrix(table_.column("unit").combine_chunks() if table_.num_rows else pa.array([], pa.list_(pa.float32())))
-        rep = table_.column("rep").to_numpy()
+        x = matrix(table_.column("unit").combine_chunks())
+        code = table_.column("code").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        rep, norm, close = (table_.column(c).to_numpy() for c in ("rep", "norm", "close"))
         block, left, right = (table_.column(c).to_numpy() for c in ("block", "left", "right"))
         names = table_.column("group").to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
@@ -250,13 +341,14 @@ def scored_cells(entries: DataFrame, least: float, top: int) -> DataFrame:
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s < 2:
                 continue
+            cell, ids = coded(x[s:e], code[s:e], norm[s:e], close[s:e], shared.value.books, least), rep[s:e]
             if left[s] == right[s]:
-                for own, other in best_within(x[s:e], None, least - 1e-5, top + SPARE):
-                    out.append(ranked(x[s:e], rep[s:e], own, other))
+                for own, other in best_within(cell, None, least - 1e-5, top + SPARE):
+                    out.append(ranked(cell.unit, ids, own, other))
             else:
-                first, second = np.arange(s, e)[block[s:e] == left[s]], np.arange(s, e)[block[s:e] == right[s]]
-                (i, j), (k, m) = best_within(x[first], x[second], least - 1e-5, top + SPARE)
-                out += [ranked(x, rep, first[i], second[j]), ranked(x, rep, second[k], first[m])]
+                first, second = np.flatnonzero(block[s:e] == left[s]), np.flatnonzero(block[s:e] == right[s])
+                (i, j), (k, m) = best_within(cell.part(first), cell.part(second), least - 1e-5, top + SPARE)
+                out += [ranked(cell.unit, ids, first[i], second[j]), ranked(cell.unit, ids, second[k], first[m])]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,26 +370,26 @@ def scored_cells(entries: DataFrame, least: float, top: int) -> DataFrame:
         if size:
             yield links(pa.Table.from_batches(kept).combine_chunks())
 
-    grouped = entries.select(F.xxhash64("kind", "cell", "left", "right").alias("group"), "rep", "unit", "block", "left", "right")
+    grouped = entries.select(F.xxhash64("kind", "cell", "left", "right").alias("group"), *LISTED[1:], "block", "left", "right")
     spread = grouped.repartition("group").sortWithinPartitions("group", "rep")
     return spread.mapInArrow(run, "a bigint, b bigint, cosine double").dropDuplicates(["a", "b"])
 
 
 def blocked(lists: DataFrame) -> DataFrame:
-    """(kind, cell, rep, unit, block, left, right): each vector in its cells; every block of a cell over CELL meets every other."""
+    """(LISTED, cell, block, left, right): each vector in its cells; every block of a cell over CELL meets every other."""
     sizes = lists.select("kind", F.explode("cells").alias("cell")).groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"))
     large = cut(sizes.where(F.col("n") > CELL))
-    entries = lists.select("kind", F.explode("cells").alias("cell"), "rep", "unit")
+    entries = lists.select(*LISTED, F.explode("cells").alias("cell"))
     crowd_free = large.isEmpty()
     plain = entries if crowd_free else entries.join(large.select("kind", "cell"), ["kind", "cell"], "left_anti")
-    out = plain.select("kind", "cell", "rep", "unit", *(F.lit(0).alias(c) for c in ("block", "left", "right")))
+    out = plain.select(*LISTED, "cell", *(F.lit(0).alias(c) for c in ("block", "left", "right")))
     if crowd_free:
         return out
     crowded = join_to_groups(entries.withColumn("place", F.xxhash64("kind", "cell")), large.select(F.xxhash64("kind", "cell").alias("place"), "n"), "place", "n")
     blocks = F.ceil(F.col("n") / CELL).cast("int")
     own = crowded.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = other.select("kind", "cell", "rep", "unit", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    met = other.select(*LISTED, "cell", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     return out.unionByName(met)
 
 
@@ -306,7 +398,8 @@ def near_pairs(reps: DataFrame, least: float, top: int = TOP) -> DataFrame:
     sample = drawn(reps, "rep")
     if sample is None:
         return reps.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
-    return scored_cells(blocked(cut(listed(reps, *centres(sample)))), least, top)
+    index = indexed(sample)
+    return scored_cells(blocked(cut(listed(reps, index))), index, least, top)
 
 
 def similar(chunks: DataFrame, least: float, top: int = TOP) -> DataFrame:
