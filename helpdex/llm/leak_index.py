@@ -3,12 +3,15 @@
 Words are compared without case, diacritics, punctuation, markup and white space. A document holds a passage if
 
 * at least EXACT words in a row of it are in the document, or
-* at least FUZZY words in a row of it are, with no more than one in five of them changed, dropped or added.
+* at least FUZZY words in a row of it are, with no more than one in five of them changed, dropped or added. The first and
+  the last of these words are in the document: a shorter quote doesn't become one of FUZZY words by words it lacks.
 
 Every window of the second kind has a run of SEED unchanged words (at most L/5 edits cut L words into at most L/5 + 1
-runs), and so has every one of the first, and a window of 2 * FUZZY words or more has a half that is within the limit as
-well. So it is enough to look up all runs of SEED words of the passages and to extend each hit by at most
-2 * FUZZY - 1 words with at most (2 * FUZZY - 1) / 5 edits: nothing is lost.
+runs), and so has every one of the first. A window of more than REACH = 2 * FUZZY + 7 words has a shorter one: if two
+unchanged words with only edits between them stand where both parts have FUZZY words, the part with the smaller share of
+edits is one; else all but one of the words there are edits, which leaves so few for the rest that the window up to or from
+that word is one. So it is enough to look up all runs of SEED words of the passages and to extend each hit to at most
+REACH words with at most REACH / 5 edits: nothing is lost.
 
 Each task builds, for its shard, a suffix array, the Burrows-Wheeler transform and a wavelet matrix, searches all seed
 phrases backward at once, locates the hits by sampled suffix positions and extends them with a banded alignment.
@@ -35,7 +38,7 @@ from helpdex.sources.tables import table
 EXACT, FUZZY, SEED = 12, 20, 4
 #: Words in one index, passages in one broadcast, one in SAMPLED suffix positions kept.
 SHARD_WORDS, PASSAGES, SAMPLED = 300_000, 5_000, 8
-REACH = 2 * FUZZY - 1
+REACH = 2 * FUZZY + 7
 EDITS = REACH // 5
 OTHER = 1
 GAP = EDITS + 2
@@ -178,7 +181,7 @@ class FmIndex:
 
 
 def extend(text: np.ndarray, start: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray, direction: int, lengths: np.ndarray) -> np.ndarray:
-    """Best score of each hit's extension by 0..REACH-SEED passage words, in one direction.
+    """Best score of each hit's extension by 0..REACH-SEED passage words, the last one kept, in one direction.
 
     A kept word scores 1, a changed or dropped one -4, an added one -5, so a window is within one edit in five exactly
     if its score is not negative.
@@ -196,12 +199,12 @@ def extend(text: np.ndarray, start: np.ndarray, words: np.ndarray, item: np.ndar
         place = start[:, None] + direction * (k - 1 + offsets[None, :])
         met = text[np.clip(place, 0, len(text) - 1)]
         fits = (met == word[:, None]) & (place >= 0) & (place < len(text))
+        out[:, k] = np.where(fits & inside[:, None], row + 1, none).max(axis=1)
         new = row + np.where(fits, 1, -4).astype(np.int32)
         new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] - 4)
         for d in range(1, width):
             new[:, d] = np.maximum(new[:, d], new[:, d - 1] - 5)
         row = np.where(inside[:, None], new, none)
-        out[:, k] = row.max(axis=1)
     return out
 
 

@@ -251,34 +251,40 @@ def holds(item, doc):
                 k += 1
             if k >= leak_index.EXACT:
                 return True
+    met, lost, five = np.array([[x == y for y in doc] for x in item]).reshape(n, m), -10_000, 5 * np.arange(m + 1)
     for s in range(n - leak_index.FUZZY + 1):
-        row = [0] * (m + 1)
-        for k in range(min(leak_index.REACH, n - s)):
-            new = [row[0] - 4] + [max(row[j] + (1 if doc[j] == item[s + k] else -4), row[j + 1] - 4) for j in range(m)]
-            for j in range(1, m + 1):
-                new[j] = max(new[j], new[j - 1] - 5)
-            row = new
-            if k + 1 >= leak_index.FUZZY and max(row) >= 0:
+        row = np.concatenate([[lost], np.where(met[s], 1, lost)])
+        for k in range(1, n - s):
+            row = np.maximum.accumulate(row + five) - five
+            kept = np.where(met[s + k], row[:-1] + 1, lost)
+            if k + 1 >= leak_index.FUZZY and m and kept.max() >= 0:
                 return True
+            row = np.maximum(row - 4, np.concatenate([[lost], np.maximum(kept, row[:-1] - 4)]))
     return False
 
 
-def test_leaks_equal_the_rule(spark, monkeypatch):
-    monkeypatch.setattr(leak_index, "SHARD_WORDS", 400)
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(40)]
-    items = [[rng.choice(words) for _ in range(rng.randint(8, 45))] for _ in range(12)]
+def planted(rng, items, words, n, most, edits):
+    """``n`` documents that hold a part of up to ``most`` words of an item with up to ``edits`` edits."""
     docs = []
-    for _ in range(120):
+    for _ in range(n):
         doc = [rng.choice(words + ["zz"]) for _ in range(rng.randint(0, 20))]
         item = rng.choice(items)
         a = rng.randrange(len(item))
-        part = list(item[a : a + rng.randint(8, 40)])
-        for _ in range(rng.randint(0, 6)):
+        part = list(item[a : a + rng.randint(8, most)])
+        for _ in range(rng.randint(0, edits)):
             if part:
                 k = rng.randrange(len(part))
                 part[k : k + 1] = rng.choice([[], ["yy"], [part[k], "yy"]])
         docs.append(doc + part + [rng.choice(words) for _ in range(rng.randint(0, 10))])
+    return docs
+
+
+def test_leaks_equal_the_rule(spark, monkeypatch):
+    monkeypatch.setattr(leak_index, "SHARD_WORDS", 400)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(words) for _ in range(rng.randint(8, 45))] for _ in range(12)]
+    docs = planted(rng, items, words, 120, 40, 6)
     df = spark.createDataFrame([(i, "**" + ", ".join(w.upper() for w in d) + "**") for i, d in enumerate(docs)] + [(900, None), (901, "")], "doc_id bigint, text string")
     it = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(90, None)], "item_id bigint, text string")
     got = {(r["item_id"], r["doc_id"]) for r in leak_index.leaks(df, it).collect()}
@@ -287,6 +293,29 @@ def test_leaks_equal_the_rule(spark, monkeypatch):
     assert {r["doc_id"] for r in spans} == {d for _, d in got} and all(r["start_pos"] <= r["end_pos"] for r in spans)
 
 
+def test_long_windows_have_short_ones(spark):
+    """Passages far longer than REACH whose edits stand close together or apart, against windows of any length."""
+    rng = random.Random(6)
+    items = [[f"{k}w{i}" for i in range(rng.randint(48, 90))] for k in range(4)]
+    docs = planted(rng, items, ["zz"], 60, 90, 22)
+    for item in items:
+        for gap in (6, 9, 12, 14):
+            a = rng.randint(17, 24)
+            docs.append(item[:a] + item[a + gap :])
+            docs.append(item[:a] + ["zz"] * (gap // 2) + item[a + gap // 2 : a + gap // 2 + 1] + ["zz"] * (gap // 2) + item[a + gap :])
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in leak_index.leaks(df, it).collect()}
+    assert got == {(i, d) for i, t in enumerate(items) for d, x in enumerate(docs) if holds(t, x)}
+
+
+def test_a_short_quote_is_not_padded(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [item[5:13] + ["x"] + item[14:22], item[5:15] + ["x"] + item[16:26]]  # 17 and 21 words, one changed
+    df = spark.createDataFrame([(i, " ".join(["a"] * 9 + d + ["b"] * 9)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    assert [tuple(r) for r in leak_index.leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()] == [(7, 1)]
+
+
 def test_index_finds_every_place():
     rng = np.random.default_rng(0)
     text = rng.integers(1, 5, size=500).astype(np.int32)
