@@ -38,13 +38,13 @@ FAR = 99.0
 
 #: Words that announce a kind of value (without diacritics, lower case).
 CUES = {
-    "phone": r"\btel\b|telefon\w*|\bphone|\bmobile|call me|\bdzwon\w*|\boddzwon\w*|moj numer to|my number is|meine nummer|\brufen sie|\bruckruf|\bhandy\w*|телефон\w*|мій номер|dzwoncie|llam\w+|mi numero es|zavolej\w*|komork\w*|numer kom\w*",
+    "phone": r"\btel\b|telefon\w*|\bphone|\bmobile|\bcall\b|\bdzwon\w*|\boddzwon\w*|moj numer to|my number is|meine nummer|\brufen sie|\bunter\b|\banruf\w*|\bruckruf|\bhandy\w*|телефон\w*|мій номер|дзвон\w*|передзвон\w*|зателефон\w*|dzwoncie|llam\w+|mi numero es|zavolej\w*|volejte|\bvolat\b|komork\w*|numer kom\w*",
     "idno": r"\bpesel|\bdowod\w*|osobist\w*|paszport\w*|passport\w*|pasaporte|reisepass\w*|ausweis\w*|\bpasu\b|\bpas\b|паспорт\w*|\bssn\b|social security|\bni number|national insurance|\bnino\b|\bdni\b|\bnie\s*:|rodne cislo|\bіпн|рнокпп|versicherung\w*|obcansk\w*|seguridad social|\bid card|identity card",
     "address": r"adres\w*|address|kurier\w*|courier|ship it|is at\b|zdalnie|pracuje|mieszka\w*|\blive\b|wohn\w*|direcc\w*|adresse|адрес\w*|bydl\w*|posl\w*|send it|liefern an|filiale|zustell\w*|schicken",
-    "name": r"nazywam sie|\bname is|\bname ist|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grus?se,?|mit freundlichen grus?sen,?|grus?s?e?,|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|(?:на|to) (?:ім'я|jmeno):?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
+    "name": r"nazywam sie|\bname is\b|\bname ist\b|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grus?se,?|mit freundlichen grus?sen,?|grus?s?e?,|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|(?:на|to) (?:ім'я|jmeno):?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
     "email": r"mail\w*|kontakt\w*|adres\w*|reply to|antworten|odpowiedz na|piszcie|reach me|пошта|відповісти|correo|odpov\w*|adresse",
 }
-OTHER_CUES = r"zglosze\w*|zamowie\w*|seryjn\w*|serial\w*|serie\w*|faktur\w*|invoice|\bport\b|puerto|\blimit|\bip\b|wersj\w*|versi\w*|verze|версі\w*|\bbuild|\bpart\b|\border\b|\bticket|vorgang\w*|bestell\w*|pedido|incidencia|замовлен\w*|звернен\w*|objednav\w*|hlaseni|\bkod\w*|\bcode\b|codigo|\bкод\w*|blad|error|chyb\w*|fehler|помилк\w*|bajt\w*|byte\w*|номер заявки|серійн\w*|seriov\w*|zgłasza|message|komunikat|\bdevice (?:id|no)|asset|inventar\w*|inwentarz\w*|rechnung\w*|factura\w*|рахун\w*|сторінк\w*|\bmac\b"
+OTHER_CUES = r"zglosze\w*|zamowie\w*|seryjn\w*|serial\w*|serie\w*|faktur\w*|invoice|\bport\b|puerto|\blimit|\bip\b|wersj\w*|versi\w*|verze|версі\w*|\bbuild|\bpart\b|\border\b|\bticket|vorgang\w*|bestell\w*|pedido|incidencia|замовлен\w*|звернен\w*|objednav\w*|hlaseni|\bkod\w*|\bcode\b|codigo|\bкод\w*|blad|error|chyb\w*|fehler|помилк\w*|bajt\w*|byte\w*|номер заявки|серійн\w*|seriov\w*|zgłasza|message|komunikat|\bdevice (?:id|no)|asset|inventar\w*|inwentarz\w*|rechnung\w*|factura\w*|рахун\w*|сторінк\w*|\bmac\b|ekran\w*|widac|screen|pantalla|bildschirm|obrazov\w*|екран\w*"
 #: Words for a group of people or a role, and other words that follow a name's cue without being one.
 ROLES = frozenset("dzial it zespol wsparcia support team night shift zmiana nocna the el la die der das turno noche nachtschicht noc smena oddeleni відділ нічна зміна helpdesk help desk biuro office recepcja reception ksiegowosc accounting administrator admin prosze please dziekuje thanks moj my mam i und y a na w z do und oddzial abteilung departamento dept department soporte tecnico it-abteilung equipo technik".split())
 #: Frequent given names (without diacritics, lower case).
@@ -82,6 +82,8 @@ ADDRESS = re.compile(
 NAME_AFTER_CUE = re.compile(rf"[\s:,\-]*((?:[^\W\d_]\.\s?|{NAME_PART}\s+)(?:[^\W\d_]\.|{NAME_PART}))(?!\w)")
 PAIR = re.compile(rf"(?=(?<![\w@.\-+])((?:[^\W\d_]\.\s?|{NAME_PART}\s+)(?:[^\W\d_]\.(?!\w)|{NAME_PART}))(?![\w@]))")
 WORDS = re.compile(NAME_PART)
+#: Words before a street that are not part of its name.
+BEFORE_STREET = re.compile(r"(?:(?:an|in|im|am|bei|beim|auf|nach|zu|zur|zum|unter|und|der|die|das|den|dem|liefern|senden|schicken|wohnt|wohne|adresse)\s+)+")
 LETTERS = str.maketrans("łŁđĐøØ", "lLdDoO")
 
 
@@ -109,7 +111,7 @@ NO_CUE = re.compile(OTHER_CUES)
 FEATURES = (
     *(f"is_{t}" for t in TYPES),
     "digits", "letters", "length", "plus", "paren", "at_sign", "seps", "digits_9", "digits_11", "digits_lead_0", "dots",
-    "own_cue", "other_cue", "own_nearer", "no_space_before_other", "rival_cue", "glued_before", "glued_after",
+    "own_cue", "other_cue", "own_nearer", "no_space_before_other", "rival_cue", "rival_nearer", "glued_before", "glued_after",
     "given_1", "given_2", "cued_initial", "capital_1", "capital_2", "upper", "initial", "role_word", "words", "hyphen", "after_cue_directly", "mixed_case_text", "street_word",
 )
 AT = {name: k for k, name in enumerate(FEATURES)}
@@ -127,7 +129,10 @@ def propose(text: str, low: str) -> list[tuple[int, int, int]]:
             if sum(c.isdigit() for c in text[a:b]) >= 7:
                 out.add((1, a, b))
         out |= {(2, *m.span()) for m in NUMBERS.finditer(text)}
-        out |= {(3, *m.span()) for m in ADDRESS.finditer(text)}
+        for m in ADDRESS.finditer(text):
+            out.add((3, *m.span()))
+            if own := BEFORE_STREET.match(low, *m.span()):
+                out.add((3, own.end(), m.end()))
     for m in CUE["name"].finditer(low):
         n = NAME_AFTER_CUE.match(text, m.end())
         if n:
@@ -153,7 +158,8 @@ def describe(text: str, low: str, kind: int, a: int, b: int) -> list[float]:
     before = low[max(0, a - WINDOW) : a]
     digits = sum(c.isdigit() for c in span)
     own, other = last_end(CUE[TYPES[kind]], before), last_end(NO_CUE, before)
-    rivals = max((last_end(CUE[t], before) for t in ("phone", "idno") if t != TYPES[kind]), default=-1)
+    # a number can be of the other kind of number
+    rivals = last_end(CUE[TYPES[3 - kind]], before) if kind in (1, 2) else -1
     own_d = float(len(before) - own) if own >= 0 else FAR
     other_d = float(len(before) - other) if other >= 0 else FAR
     parts = [w for w in re.split(r"[\s.]+", span) if w] if kind == 4 else []
@@ -175,6 +181,7 @@ def describe(text: str, low: str, kind: int, a: int, b: int) -> list[float]:
     f[AT["other_cue"]] = other_d
     f[AT["own_nearer"]] = float(own_d < other_d)
     f[AT["rival_cue"]] = float(len(before) - rivals) if rivals >= 0 else FAR
+    f[AT["rival_nearer"]] = float(f[AT["rival_cue"]] < own_d)
     f[AT["no_space_before_other"]] = float(other_d <= 3)
     f[AT["glued_before"]] = float(a > 0 and not text[a - 1].isspace() and text[a - 1] not in ":,(")
     f[AT["glued_after"]] = float(b < len(text) and text[b] in "-/@_" or b + 1 < len(text) and text[b] == "." and text[b + 1].isdigit())
