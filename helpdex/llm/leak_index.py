@@ -181,30 +181,29 @@ class FmIndex:
 
 
 def extend(text: np.ndarray, start: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray, direction: int, lengths: np.ndarray) -> np.ndarray:
-    """Best score of each hit's extension by 0..REACH-SEED passage words, the last one kept, in one direction.
+    """Best score of each hit's extension by 0..REACH-SEED passage words (rows), the last one kept, in one direction.
 
     A kept word scores 1, a changed or dropped one -4, an added one -5, so a window is within one edit in five exactly
     if its score is not negative.
     """
-    width, most = 2 * EDITS + 1, REACH - SEED
+    width, most, none = 2 * EDITS + 1, REACH - SEED, np.int16(-10_000)
+    # rows are diagonals or steps, columns hits; step k meets the words k - 1 - EDITS to k - 1 + EDITS from the start
+    place = start[None, :] + direction * np.arange(-EDITS, most + EDITS)[:, None]
+    seen = np.where((place >= 0) & (place < len(text)), text[np.clip(place, 0, len(text) - 1)], 0)
     offsets = np.arange(-EDITS, EDITS + 1)
-    none = np.int32(-10_000)
-    row = np.where(offsets >= 0, -5 * offsets, none).astype(np.int32)[None, :].repeat(len(start), axis=0)
-    out = np.full((len(start), most + 1), none, dtype=np.int32)
-    out[:, 0] = 0
+    row = np.where(offsets >= 0, -5 * offsets, none).astype(np.int16)[:, None].repeat(len(start), axis=1)
+    out = np.full((most + 1, len(start)), none, dtype=np.int16)
+    out[0] = 0
     for k in range(1, most + 1):
         at = first + direction * (k - 1)
-        inside = (at >= 0) & (at < lengths[item])
-        word = np.where(inside, words[item, np.clip(at, 0, words.shape[1] - 1)], -1)
-        place = start[:, None] + direction * (k - 1 + offsets[None, :])
-        met = text[np.clip(place, 0, len(text) - 1)]
-        fits = (met == word[:, None]) & (place >= 0) & (place < len(text))
-        out[:, k] = np.where(fits & inside[:, None], row + 1, none).max(axis=1)
-        new = row + np.where(fits, 1, -4).astype(np.int32)
-        new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] - 4)
+        word = np.where((at >= 0) & (at < lengths[item]), words[item, np.clip(at, 0, words.shape[1] - 1)], -1)
+        kept = np.where(seen[k - 1 : k - 1 + width] == word, row + np.int16(1), none)
+        out[k] = kept.max(axis=0)
+        new = np.maximum(kept, row - np.int16(4))
+        new[:-1] = np.maximum(new[:-1], row[1:] - np.int16(4))
         for d in range(1, width):
-            new[:, d] = np.maximum(new[:, d], new[:, d - 1] - 5)
-        row = np.where(inside[:, None], new, none)
+            np.maximum(new[d], new[d - 1] - np.int16(5), out=new[d])
+        row = new
     return out
 
 
@@ -236,14 +235,13 @@ def hits(text: np.ndarray, passages: Passages) -> tuple[np.ndarray, np.ndarray,
     exact = run >= EXACT
     right = extend(text, place + run, passages.words, item, word + run, 1, passages.lengths)
     left = extend(text, place - 1, passages.words, item, word - 1, -1, passages.lengths)
-    best_right = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
-    grow = np.arange(left.shape[1])
-    need = np.clip(FUZZY - run[:, None] - grow[None, :], 0, left.shape[1])
-    padded = np.concatenate([best_right, np.full((len(run), 1), -10_000, dtype=np.int32)], axis=1)
-    total = left + np.take_along_axis(padded, need, axis=1) + run[:, None]
-    a = total.argmax(axis=1)
-    found = total[np.arange(len(run)), a] >= 0
-    b = np.where(grow[None, :] >= need[np.arange(len(run)), a][:, None], right, -10_000).argmax(axis=1)
+    best_right = np.concatenate([np.maximum.accumulate(right[::-1])[::-1], np.full((1, len(run)), -10_000, dtype=np.int16)])
+    grow, each = np.arange(len(left))[:, None], np.arange(len(run))
+    need = np.clip(FUZZY - run - grow, 0, len(left))
+    total = left + np.take_along_axis(best_right, need, axis=0) + run
+    a = total.argmax(axis=0)
+    found = total[a, each] >= 0
+    b = np.where(grow >= need[a, each], right, -10_000).argmax(axis=0)
     keep = exact | found
     start = np.where(found, place - a, place)
     end = np.where(found, place + run + b, place + run)
