@@ -33,8 +33,9 @@ def defect(x: Column, dims: int = 0) -> Column:
 def normalized(x: Column, dims: int = 0) -> Column:
     """The first ``dims`` values (all if 0) scaled to length one, as floats; null where ``defect`` names a reason."""
     kept = F.slice(x, 1, dims) if dims else x
-    length = norm(kept)
-    return F.when(defect(x, dims).isNull(), F.transform(kept, lambda v: (v.cast("double") / length).cast("float")))
+    # the length is an element of an outer array, so it is worked out once and not for every value
+    scaled = F.transform(F.array(norm(kept)), lambda length: F.transform(kept, lambda v: (v.cast("double") / length).cast("float")))
+    return F.when(defect(x, dims).isNull(), scaled[0])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helpdex.operators.retrieval import retrieve
+from helpdex.plans.skew import cut
 
 EDGE = 0.01
 #: Width of the buckets that scores are summed in.
@@ -21,15 +22,24 @@ def measure(questions: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.select("qid", "relevant", (F.size("relevant") > 0).alias("in_base"), "top_score", "top_path", F.array_contains("relevant", F.col("top_path")).alias("hit"))
 
 
+def scores(measured: DataFrame) -> DataFrame:
+    """(top_score, inside, outside): the questions with and without an answer in the base by score, searched for once."""
+    return cut(measured.groupBy("top_score").agg(F.count_if("in_base").alias("inside"), F.count_if(~F.col("in_base")).alias("outside")))
+
+
 def candidates(measured: DataFrame) -> DataFrame:
-    """(value, gap, correct, total, place): every threshold worth trying with the questions it judges right.
+    """(value, gap, correct, total, place): every threshold worth trying with the questions it judges right."""
+    return thresholds(scores(measured))
+
+
+def thresholds(by_score: DataFrame) -> DataFrame:
+    """The candidates of ``scores``.
 
     A question is judged right if its score reaches the threshold exactly when its answer is in the base. Candidates are
     just below all scores, just above all, and halfway between neighbouring scores; ``gap`` is the distance of the
     neighbours (0 at the ends) and ``place`` the order among equals. Sums run over buckets of scores, then within
     each bucket.
     """
-    by_score = measured.groupBy("top_score").agg(F.count_if("in_base").alias("inside"), F.count_if(~F.col("in_base")).alias("outside"))
     placed = by_score.withColumn("bucket", F.floor(F.col("top_score") / WIDTH))
     across, within = Window.orderBy("bucket"), Window.partitionBy("bucket").orderBy("top_score")
     # scores are cosines, so there are at most 2 / WIDTH + 2 buckets; only the scores of one bucket share a task
@@ -58,8 +68,9 @@ def suggest(measured: DataFrame) -> DataFrame:
 
     No row unless there are questions with and without an answer in the base.
     """
-    classes = measured.agg(F.count_if("in_base").alias("inside"), F.count_if(~F.col("in_base")).alias("outside")).where("inside > 0 and outside > 0")
-    best = candidates(measured).orderBy(F.desc("correct"), F.desc("gap"), "place", "value").limit(1)
+    by_score = scores(measured)
+    classes = by_score.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where("inside > 0 and outside > 0")
+    best = thresholds(by_score).orderBy(F.desc("correct"), F.desc("gap"), "place", "value").limit(1)
     return best.join(F.broadcast(classes)).select("value", "correct", "total")
 
 

@@ -56,11 +56,12 @@ def retrieve(questions: DataFrame, entries: DataFrame, top_k: int = TOP_K) -> Da
     width = F.size("vec")
     usable = entries.select("path", "ord", "kind", "text", "vec").where(F.col("vec").isNotNull() & F.col("path").isNotNull())
     asked = questions.select("qid", "qvec").where(F.col("qid").isNotNull() & F.col("qvec").isNotNull())
-    sizes = usable.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    # counted without the vectors, so that entries embedded on the way are not embedded for it
+    sizes = entries.where(F.col("path").isNotNull()).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     half = max(1, ENTRY_BLOCK // 2)
     large = sizes.where(F.col("n") > half).select("path", F.ceil(F.col("n") / half).alias("slices"))
-    blocks, question_blocks = max(1, -(-total // ENTRY_BLOCK)), max(1, -(-asked.count() // QUESTION_BLOCK))
+    blocks, question_blocks = max(1, -(-total // ENTRY_BLOCK)), max(1, -(-questions.where(F.col("qid").isNotNull()).select("qid").count() // QUESTION_BLOCK))
     # a large document takes as many blocks as it fills
     slice_ = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("ord", "kind", "text"), F.col("slices"))).otherwise(F.lit(0))
     placed = (

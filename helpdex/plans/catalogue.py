@@ -132,18 +132,23 @@ _RANKED = f"""
 # vectors ----------------------------------------------------------------------------------------------------------------
 
 
+def scaled_chunks(spark: SparkSession, data_dir: str, dims: int) -> DataFrame:
+    """(id, unit) of every usable vector; rows written twice are found by a hash of the vector, not by all its values."""
+    rows = table(spark, data_dir, "chunks").select("id", "vec").where(defect(F.col("vec"), dims).isNull())
+    once = rows.withColumn("h", F.xxhash64("vec")).dropDuplicates(["id", "h"])
+    return once.select("id", F.transform(normalized(F.col("vec"), dims), lambda x: F.round(x, 6).cast("double")).alias("unit"))
+
+
 @query("vec_normalize", f"SELECT DISTINCT id, {_UNIT.format(v='vec')} AS unit FROM chunks WHERE {_GOOD}")
 def vec_normalize(spark, data_dir):
     """Chunk vectors scaled to length one."""
-    rows = table(spark, data_dir, "chunks").select("id", normalized(F.col("vec")).alias("u")).where("u is not null")
-    return rows.select("id", F.transform("u", lambda x: F.round(x, 6).cast("double")).alias("unit")).distinct()
+    return scaled_chunks(spark, data_dir, 0)
 
 
 @query("vec_truncate_normalize", f"SELECT DISTINCT id, {_UNIT.format(v='vec[1:16]')} AS unit FROM (SELECT id, vec[1:16] AS vec FROM chunks WHERE len(vec) >= 16) WHERE {_GOOD}")
 def vec_truncate_normalize(spark, data_dir):
     """The first 16 dimensions of the chunk vectors, scaled to length one."""
-    rows = table(spark, data_dir, "chunks").select("id", normalized(F.col("vec"), 16).alias("u")).where("u is not null")
-    return rows.select("id", F.transform("u", lambda x: F.round(x, 6).cast("double")).alias("unit")).distinct()
+    return scaled_chunks(spark, data_dir, 16)
 
 
 @query("vec_defects", """SELECT reason, count(*) AS chunks FROM (SELECT DISTINCT id, CASE

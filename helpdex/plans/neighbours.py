@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helpdex.functions.vectors import normalized
+from helpdex.functions.vectors import defect
 
 ROW_BLOCK, QUERY_BLOCK, DECIMALS = 50_000, 4_000, 9
 
@@ -19,9 +19,11 @@ def cosine_neighbours(rows: DataFrame, is_query: Column, top: int, dims: int = 6
     ``rows`` has id, kind, vec. Vectors that can't be scaled or are not ``dims`` wide take no part; repeated ids count
     once; ties (after rounding to DECIMALS) go to the smaller id.
     """
-    good = rows.where((F.size("vec") == dims) & F.col("id").isNotNull() & F.col("kind").isNotNull()).select("id", "kind", "vec", normalized(F.col("vec")).alias("u")).where("u is not null").select("id", "kind", "vec").dropDuplicates(["id"])
+    named = rows.where(F.col("id").isNotNull() & F.col("kind").isNotNull()).select("id", "kind", "vec")
+    good = named.where((F.size("vec") == dims) & defect(F.col("vec")).isNull()).dropDuplicates(["id"])
     queries = good.where(is_query)
-    row_blocks, query_blocks = max(1, -(-good.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    # upper bounds of the usable rows, counted without reading a vector
+    row_blocks, query_blocks = max(1, -(-named.count() // ROW_BLOCK)), max(1, -(-named.where(is_query).count() // QUERY_BLOCK))
     placed = good.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
 
