@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,10 @@ from helpdex.functions.vectors import normalized
 
 HASH_DIMS = 64
 #: The prefixes that are not part of a text, and what a word is.
-PREFIX = regex.compile(r"^(task: [^|]*\| query: |title: [^|]*\| text: )")
+PREFIX = re.compile(r"^(task: [^|]*\| query: |title: [^|]*\| text: )")
 WORD = regex.compile(r"\p{L}+|\p{N}+")
+#: Letters and numbers in a row, one or several words.
+RUN = re.compile(r"[^\W_]+")
 SAME = 0.99
 
 
@@ -37,18 +41,39 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def hashed_counts(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Counts of the words of three characters or more by hash bucket; the first bucket is 1 if there is none."""
-    counts = np.zeros(HASH_DIMS)
-    for w in WORD.findall(PREFIX.sub("", text or "").lower()):
-        if len(w) >= 3:
-            bucket = known.get(w)
-            if bucket is None:
-                bucket = known[w] = fnv1a(w.encode()) % HASH_DIMS
-            counts[bucket] += 1
-    if not counts.any():
-        counts[0] = 1
-    return counts
+class WordCounter:
+    """Counts of words by hash bucket; remembers what runs of letters and digits stand for."""
+
+    MOST_KEPT = 500_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.mixed: list[list[int]] = []
+
+    def bucket(self, run: str) -> int:
+        """The bucket of a run that is one word, -1 if it is too short, else -2 - k for the buckets ``mixed[k]``."""
+        if run.isalpha() or run.isdecimal():
+            return fnv1a(run.encode()) % HASH_DIMS if len(run) >= 3 else -1
+        self.mixed.append([fnv1a(w.encode()) % HASH_DIMS for w in WORD.findall(run) if len(w) >= 3])
+        return -1 - len(self.mixed)
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: counts of its words of three characters or more; the first bucket is 1 if there is none."""
+        if len(self.known) > self.MOST_KEPT:
+            self.known, self.mixed = {}, []
+        runs = [RUN.findall(PREFIX.sub("", t or "").lower()) for t in texts]
+        flat = [r for own in runs for r in own]
+        for run in set(flat).difference(self.known):
+            self.known[run] = self.bucket(run)
+        bucket = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        text = np.repeat(np.arange(len(texts)), [len(own) for own in runs])
+        single = bucket >= 0
+        counts = np.bincount(text[single] * HASH_DIMS + bucket[single], minlength=len(texts) * HASH_DIMS).reshape(-1, HASH_DIMS).astype(np.float64)
+        for k in np.flatnonzero(bucket < -1).tolist():
+            for b in self.mixed[-2 - bucket[k]]:
+                counts[text[k], b] += 1
+        counts[~counts.any(axis=1), 0] = 1
+        return counts
 
 
 @dataclass(frozen=True)
@@ -56,14 +81,13 @@ class HashingEmbedder:
     """Deterministic offline embeddings: hashed word counts of length one. Null and wordless texts get the first axis."""
 
     def embed(self, rows: DataFrame, text_col: str) -> DataFrame:
-        @F.pandas_udf("array<float>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, int] = {}
+        @F.arrow_udf("array<float>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            counter = WordCounter()
             for texts in batches:
-                if len(known) > 500_000:
-                    known.clear()
-                counts = (hashed_counts(t, known) for t in texts)
-                yield pd.Series([(c / np.sqrt((c * c).sum())).astype(np.float32) for c in counts])
+                counts = counter.counts(texts.to_pylist())
+                flat = (counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))).astype(np.float32).ravel()
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, HASH_DIMS), pa.int32()), pa.array(flat))
 
         return rows.withColumn("vec", run(F.col(text_col)))
 
