@@ -47,6 +47,8 @@ MERGE, MARGIN = 0.8, 0.12
 JOIN_BEAM, SURE, DENSE = 4, 5.0, 24
 #: Candidates kept beyond ``top`` until they are ranked in double precision.
 SPARE = 3
+#: Decimals of a cosine in lists of the nearest, so that equal directions tie.
+DECIMALS = 6
 QUERY_BLOCK, ROW_BLOCK, RERANK = 4_000, 50_000, 400
 
 
@@ -467,7 +469,7 @@ def nearest(chunks: DataFrame, is_query, top: int = TOP) -> DataFrame:
             for i in range(len(part)):
                 at = np.argpartition(-rough[i], keep - 1)[:keep]
                 at = at[x_id[at] != q_id[k + i]]
-                cosine = x[at].astype(np.float64) @ part[i].astype(np.float64)
+                cosine = np.round(x[at].astype(np.float64) @ part[i].astype(np.float64), DECIMALS)
                 best = np.lexsort((x_id[at], -cosine))[:top]
                 out.append(pd.DataFrame({"id": q_id[k + i], "neighbour": x_id[at][best], "cosine": np.minimum(cosine[best], 1.0)}))
         return pd.concat(out) if out else none
@@ -485,8 +487,18 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p4_nearest(spark: SparkSession, data_dir: str) -> DataFrame:
     """The 5 most similar chunks of the same kind for every chunk whose id is divisible by 100, against all chunks."""
-    return nearest(table(spark, data_dir, "chunks"), F.col("id") % 100 == 0).withColumn("cosine", F.round("cosine", 6))
+    return nearest(table(spark, data_dir, "chunks"), F.col("id") % 100 == 0).withColumn("rank", F.col("rank").cast("long"))
 
 
-SQL: dict[str, str] = {}
+_USABLE = """
+    WITH c AS (
+        SELECT DISTINCT ON (id) id, kind, CAST(vec AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(vec, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS l FROM chunks
+        WHERE id IS NOT NULL AND kind IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(vec, lambda y: y <> 0)) > 0),
+    s AS (SELECT a.id, b.id AS neighbour, round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS cosine FROM c a JOIN c b ON a.kind = b.kind AND a.id <> b.id {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS rank FROM s)
+"""
+SQL = {
+    "p4_found": _USABLE.format(where="") + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM r WHERE rank <= 5 AND cosine >= 0.9",
+    "p4_nearest": _USABLE.format(where="WHERE a.id % 100 = 0") + "SELECT id, rank, neighbour, cosine FROM r WHERE rank <= 5",
+}
 QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}
