@@ -102,24 +102,33 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float32, copy=False) if len(column) else np.zeros((0, DIMS), dtype=np.float32)
 
 
-def unit_vectors(chunks: DataFrame) -> DataFrame:
-    """(id, kind, key, unit) of every usable vector: scaled to length one, ``key`` equal for equal directions."""
-    usable = chunks.select("id", "kind", "vec").where(
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def usable(chunks: DataFrame) -> DataFrame:
+    """(id, kind, vec) of the rows that take part."""
+    return chunks.select("id", "kind", "vec").where(
         F.col("id").isNotNull() & F.col("kind").isNotNull() & (F.size("vec") == DIMS) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     )
 
+
+def unit_vectors(chunks: DataFrame) -> DataFrame:
+    """(id, kind, key, unit) of every usable vector: scaled to length one, ``key`` equal for equal directions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("vec")).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = scaled(matrix(batch.column("vec")))
             rounded = np.round(x, 5) + 0.0
             keys = [xxhash.xxh3_128_hexdigest(row.tobytes()) for row in rounded]
             flat = pa.array(x.astype(np.float32).ravel(), pa.float32())
             units = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIMS), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array(keys, pa.string()), units], ["id", "kind", "key", "unit"])
 
-    return usable.mapInArrow(run, "id bigint, kind string, key string, unit array<float>")
+    return usable(chunks).mapInArrow(run, "id bigint, kind string, key string, unit array<float>")
 
 
 def drawn(units: DataFrame, id_col: str, sample: int = SAMPLE) -> np.ndarray | None:
@@ -438,23 +447,24 @@ def nearest(chunks: DataFrame, is_query, top: int = TOP) -> DataFrame:
     Rows and queries are put into blocks of bounded size by hash, and every block of queries meets every block of rows
     of its kind in a task of its own.
     """
-    units = cut(unit_vectors(chunks).select("id", "kind", "unit").dropDuplicates(["id"]))
-    books = codebooks(units, "id")
+    known = cut(usable(chunks).dropDuplicates(["id"]))
+    books = codebooks(unit_vectors(known), "id")
     if books is None:
-        return units.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
-    queries = units.where(is_query)
-    row_blocks, query_blocks = max(1, -(-units.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+        return known.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
+    queries = known.where(is_query)
+    row_blocks, query_blocks = max(1, -(-known.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     every_query_block = F.sequence(F.lit(0), F.lit(query_blocks - 1))
-    rows = units.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(every_query_block))
+    rows = known.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(every_query_block))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    shared = units.sparkSession.sparkContext.broadcast(books)
+    shared = known.sparkSession.sparkContext.broadcast(books)
 
     def run(queries_: pd.DataFrame, rows_: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
         if not len(queries_) or not len(rows_):
             return none
         books_ = shared.value
-        q, x = np.stack(queries_["unit"].to_numpy()).astype(np.float32), np.stack(rows_["unit"].to_numpy()).astype(np.float32)
+        q_exact, x_exact = scaled(np.stack(queries_["vec"].to_numpy())), scaled(np.stack(rows_["vec"].to_numpy()))
+        q, x = q_exact.astype(np.float32), x_exact.astype(np.float32)
         q_id, x_id = queries_["id"].to_numpy(), rows_["id"].to_numpy()
         code = np.concatenate([beam_search(x[k : k + 2_000], books_, BEAM) for k in range(0, len(x), 2_000)])
         norm = np.maximum(np.linalg.norm(decoded(code, books_), axis=1), 1e-9).astype(np.float32)
@@ -469,7 +479,7 @@ def nearest(chunks: DataFrame, is_query, top: int = TOP) -> DataFrame:
             for i in range(len(part)):
                 at = np.argpartition(-rough[i], keep - 1)[:keep]
                 at = at[x_id[at] != q_id[k + i]]
-                cosine = np.round(x[at].astype(np.float64) @ part[i].astype(np.float64), DECIMALS)
+                cosine = np.round(x_exact[at] @ q_exact[k + i], DECIMALS)
                 best = np.lexsort((x_id[at], -cosine))[:top]
                 out.append(pd.DataFrame({"id": q_id[k + i], "neighbour": x_id[at][best], "cosine": np.minimum(cosine[best], 1.0)}))
         return pd.concat(out) if out else none
