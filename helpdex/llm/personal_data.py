@@ -270,8 +270,12 @@ def margin(model: Trees, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
 def probability(model: Trees, x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-(model.slope * margin(model, x) + model.shift)))
+    return logistic(model.slope * margin(model, x) + model.shift)
 
 
 def calibrated(model: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -280,13 +284,13 @@ def calibrated(model: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
     slope, shift = 2.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(50):  # Newton steps
-        p = 1 / (1 + np.exp(-(slope * m + shift)))
+        p = logistic(slope * m + shift)
         w = np.maximum(p * (1 - p), 1e-6)
         g = np.array([((p - target) * m).sum(), (p - target).sum()])
         h = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         slope, shift = slope - step[0], shift - step[1]
-    p = 1 / (1 + np.exp(-(slope * m + shift)))
+    p = logistic(slope * m + shift)
     thresholds = np.full(len(TYPES), 0.5)
     for k in range(len(TYPES)):
         own = x[:, k] > 0
