@@ -58,6 +58,7 @@ GIVEN = frozenset(
 )
 STREET_WORDS = r"ul\.|ulica|ulicy|aleja|alei|al\.|os\.|osiedle|pl\.|plac|ulice|nam\.|calle|avenida|avda\.|plaza|paseo|c/|вул\.|вулиця|вулиці|просп\.|проспект|бульв\.|пров\.|площа"
 STREET_ENDS = r"road|rd|lane|ln|street|st|avenue|ave|drive|close|way|court|square|terrace|gardens|crescent|place|hill|row|mews"
+STREET_TAILS = "straße|strasse|str\\.|gasse|allee|weg|platz|ufer|zeile|steig|stieg|grund|pfad|ring|damm|winkel"
 
 EMAIL = re.compile(
     r"[\w][\w.+%-]*(?:\s*(?:@|\(at\)|\[at\]|\{at\}|\(małpa\)|\[małpa\])\s*|\s+(?:at|małpa|malpa)\s+)[\w-]+(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.|\s\.\s)[\w-]+)*(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.)[a-z]{2,10}(?![\w])",
@@ -75,7 +76,7 @@ NAME_PART = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 ADDRESS = re.compile(
     rf"(?<!\w)(?:{STREET_WORDS})\s*(?:{NAME_PART}\.?\s+){{0,3}}{NAME_PART},?\s+\d{{1,4}}(?:[a-z]|\s[a-z](?![\w.]))?(?:\s?(?:/|m\.|lok\.|кв\.)\s?\d{{1,4}})?(?!\w)"
     rf"|(?<!\w)(?:flat\s+\d+\w?,?\s+)?\d{{1,4}}[a-z]?,?\s+(?:{NAME_PART}\s+){{1,3}}(?:{STREET_ENDS})(?!\w)"
-    rf"|(?<!\w)(?:{NAME_PART}\s+){{0,2}}[^\W\d_]*(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|zeile|steig|stieg|grund|pfad|ring|damm|winkel)\s+\d{{1,4}}(?:[a-z]|\s[a-z](?![\w.]))?(?!\w)"
+    rf"|(?<!\w)(?:{NAME_PART}\s+){{0,2}}[^\W\d_]*(?:{STREET_TAILS})\s+\d{{1,4}}(?:[a-z]|\s[a-z](?![\w.]))?(?!\w)"
     rf"|(?<!\w)[^\W\d_]{{6,}}\s+\d{{1,3}}[a-z]?(?=,\s*(?:\d{{4,5}}\s+)?[^\W\d_]{{4,}})",
     re.I,
 )
@@ -106,6 +107,15 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(FOLDED)
 
 
+#: What every match of ADDRESS has: one of these words (folded), or a number next to a word as its other forms have it.
+STREET_KEYS = tuple(folded(w.replace("\\", "")) for w in f"{STREET_WORDS}|{STREET_TAILS}".split("|"))
+NUMBER_NEAR = re.compile(r"(?<!\w)\d{1,4}[a-z]?,?\s+[^\W\d_]|[^\W\d_]\s+\d{1,3}[a-z]?,")
+
+
+def may_have_address(low: str) -> bool:
+    return any(k in low for k in STREET_KEYS) or NUMBER_NEAR.search(low) is not None
+
+
 CUE = {k: re.compile(v) for k, v in CUES.items()}
 NO_CUE = re.compile(OTHER_CUES)
 FEATURES = (
@@ -129,7 +139,7 @@ def propose(text: str, low: str) -> list[tuple[int, int, int]]:
             if sum(c.isdigit() for c in text[a:b]) >= 7:
                 out.add((1, a, b))
         out |= {(2, *m.span()) for m in NUMBERS.finditer(text)}
-        for m in ADDRESS.finditer(text):
+        for m in ADDRESS.finditer(text) if may_have_address(low) else ():
             out.add((3, *m.span()))
             if own := BEFORE_STREET.match(low, *m.span()):
                 out.add((3, own.end(), m.end()))
