@@ -24,6 +24,18 @@ from helpdex.sources.snapshot import Store
 from helpdex.streaming import jobs
 
 
+def test_batch_counts_equal_counting_word_by_word():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcęłжщ 12²½_-") for _ in range(rng.randint(0, 50))) for _ in range(500)] + [None, "", "task: x | query: ala ma 123kot ²½²", "title: t | text: kot kot"]
+    got = embedding.WordCounter().counts(texts)
+    for text, row in zip(texts, got):
+        want = [0.0] * embedding.HASH_DIMS
+        for w in embedding.WORD.findall(embedding.PREFIX.sub("", text or "").lower()):
+            if len(w) >= 3:
+                want[embedding.fnv1a(w.encode()) % embedding.HASH_DIMS] += 1
+        assert row.tolist() == (want if any(want) else [1.0] + want[1:]), text
+
+
 def test_language_gate(spark):
     cases = [
         ("Chrome zawiesza się i zamyka", True), ("chrome sie zawiesza", True), ("jak zmienic haslo do konta", True), ("Outlook", True), ("chrome crash", True),
