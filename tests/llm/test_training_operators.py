@@ -175,6 +175,20 @@ def test_a_cell_gives_short_lists(spark):
     assert pairs.groupBy("a").count().agg(F.count("a").alias("n"), F.max("count").alias("most")).first() == (n, 5)
 
 
+def test_candidates_hold_the_pairs_that_count():
+    """Lookups with codes lose none of the pairs at the limit, and leave most other pairs out."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(1_500, 64)))
+    x = unit(np.concatenate([base, base + 0.46 * unit(rng.normal(size=base.shape))])).astype(np.float32)
+    index = similar_vectors.indexed(x)
+    code, norm, close = similar_vectors.encoded(x, index)
+    cell = similar_vectors.coded(x, code, norm, close, index.books, 0.9)
+    hit = cell.candidates(cell.tables(x), 0, len(x))
+    near = x @ x.T >= 0.9
+    assert near.sum() > 4_000 and (hit & near).sum() >= 0.999 * near.sum() and hit.mean() < 0.05
+
+
 def test_nearest_recall(spark):
     chunks = similar_vectors.table(spark, "/root/testdata/sf0.1", "chunks")
     got: dict[int, set] = {}
@@ -214,6 +228,14 @@ def test_personal_data(spark):
     assert out[0] == "Oddzwońcie na [PHONE] jeszcze dziś." and out[17] is None and out[1] == cases[1][0]
 
 
+def test_address_filter_passes_every_match():
+    rng = random.Random(8)
+    bits = ["ul. ", "ulica ", "Gajowa ", "Alte ", "Mühlgasse ", "STRASSE ", "Hauptstraße ", "str. ", "flat 3, ", "12 ", "7b, ", "363 ", "Larchbury ", "Road", "вул. ", "Шевченка ", "c/ ", "Mayor ", "HD-1234567 ", "10.2 ", "m. 2", "Kupferhain ", ", 04393 Stadt", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    matched = [t for t in texts if personal_data.ADDRESS.search(t)]
+    assert len(matched) > 1_000 and all(personal_data.may_have_address(personal_data.folded(t)) for t in matched)
+
+
 # tokens
 
 
