@@ -41,7 +41,7 @@ CUES = {
     "phone": r"\btel\b|telefon\w*|\bphone|\bmobile|\bcall\b|\bdzwon\w*|\boddzwon\w*|moj numer to|my number is|meine nummer|\brufen sie|\bunter\b|\banruf\w*|\bruckruf|\bhandy\w*|телефон\w*|мій номер|дзвон\w*|передзвон\w*|зателефон\w*|dzwoncie|llam\w+|mi numero es|zavolej\w*|volejte|\bvolat\b|komork\w*|numer kom\w*",
     "idno": r"\bpesel|\bdowod\w*|osobist\w*|paszport\w*|passport\w*|pasaporte|reisepass\w*|ausweis\w*|\bpasu\b|\bpas\b|паспорт\w*|\bssn\b|social security|\bni number|national insurance|\bnino\b|\bdni\b|\bnie\s*:|rodne cislo|\bіпн|рнокпп|versicherung\w*|obcansk\w*|seguridad social|\bid card|identity card",
     "address": r"adres\w*|address|kurier\w*|courier|ship it|is at\b|zdalnie|pracuje|mieszka\w*|\blive\b|wohn\w*|direcc\w*|adresse|адрес\w*|bydl\w*|posl\w*|send it|liefern an|filiale|zustell\w*|schicken",
-    "name": r"nazywam sie|\bname is\b|\bname ist\b|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grus?se,?|mit freundlichen grus?sen,?|grus?s?e?,|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|(?:на|to) (?:ім'я|jmeno):?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
+    "name": r"nazywam sie|\bname is\b|\bname ist\b|konto zalozone dla:?|kolega z zespolu,?|kolezanka z zespolu,?|pozdrawiam,?|regards,?|viele grus?se,?|mit freundlichen grus?sen,?|grus?s?e?,|мене звати|з повагою,?|jmenuji se|s pozdravem,?|me llamo|un saludo,?|saludos,?|belongs to|angelegt fur:?|konto gehort|mi nombre es|a nombre de|a colleague,?|colleague from the team,?|kollege,?|kollegin,?|kolega,?|kolegyne,?|companero,?|колега,?|на ім'я:?|на jmeno:?|to ім'я:?|to jmeno:?|zalozen na:?|na jmeno:?|gemeldet von|zglosil\w*|podpis\w*:?|signed,?|imie i nazwisko:?|name:",
     "email": r"mail\w*|kontakt\w*|adres\w*|reply to|antworten|odpowiedz na|piszcie|reach me|пошта|відповісти|correo|odpov\w*|adresse",
 }
 OTHER_CUES = r"zglosze\w*|zamowie\w*|seryjn\w*|serial\w*|serie\w*|faktur\w*|invoice|\bport\b|puerto|\blimit|\bip\b|wersj\w*|versi\w*|verze|версі\w*|\bbuild|\bpart\b|\border\b|\bticket|vorgang\w*|bestell\w*|pedido|incidencia|замовлен\w*|звернен\w*|objednav\w*|hlaseni|\bkod\w*|\bcode\b|codigo|\bкод\w*|blad|error|chyb\w*|fehler|помилк\w*|bajt\w*|byte\w*|номер заявки|серійн\w*|seriov\w*|zgłasza|message|komunikat|\bdevice (?:id|no)|asset|inventar\w*|inwentarz\w*|rechnung\w*|factura\w*|рахун\w*|сторінк\w*|\bmac\b|ekran\w*|widac|screen|pantalla|bildschirm|obrazov\w*|екран\w*"
@@ -64,7 +64,7 @@ EMAIL = re.compile(
     r"[\w][\w.+%-]*(?:\s*(?:@|\(at\)|\[at\]|\{at\}|\(małpa\)|\[małpa\])\s*|\s+(?:at|małpa|malpa)\s+)[\w-]+(?:(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.|\s\.\s)[\w-]+)*(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\(kropka\)|\[kropka\])\s*|\s+(?:dot|kropka)\s+|\.)[a-z]{2,10}(?![\w])",
     re.I,
 )
-#: What an address without @ has in its place, and whether there is a digit at all.
+#: What an address without @ has in its place, and the digits that tell whether there can be a number.
 AT_WORD = re.compile(r"[(\[{\s](?:at|malpa)[)\]}\s]")
 DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"(?<![\w+(/])(?:\+|00)?\s?\(?\d[\d ().\- /]{4,20}\d(?!\w)")
@@ -107,17 +107,33 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(FOLDED)
 
 
+def by_first_letter(alternatives: str) -> re.Pattern:
+    """The same alternatives grouped by their first letter, so that a search skips all positions with another letter.
+
+    Alternatives of one letter keep their order, and those of different letters can't match at the same place, so the
+    matches are the same. A leading word boundary is looked for behind the letter.
+    """
+    groups: dict[str, list[str]] = {}
+    for one in re.split(r"\|(?![^(]*\))", alternatives):
+        bound = one.startswith(r"\b")
+        first, rest = one[2 * bound], one[2 * bound + 1 :]
+        if not first.isalpha() or rest[:1] in ("?", "*", "+", "{"):
+            raise ValueError(f"an alternative must begin with a letter: {one}")
+        groups.setdefault(first, []).append((rf"(?<!\w{first})" if bound else "") + rest)
+    return re.compile("|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in groups.items()))
+
+
 #: What every match of ADDRESS has: one of these words (folded), or a number next to a word as its other forms have it.
-STREET_KEYS = tuple(folded(w.replace("\\", "")) for w in f"{STREET_WORDS}|{STREET_TAILS}".split("|"))
-NUMBER_NEAR = re.compile(r"(?<!\w)\d{1,4}[a-z]?,?\s+[^\W\d_]|[^\W\d_]\s+\d{1,3}[a-z]?,")
+STREET_KEY = by_first_letter("|".join(re.escape(folded(w.replace("\\", ""))) for w in f"{STREET_WORDS}|{STREET_TAILS}".split("|")))
+NUMBER_NEAR = re.compile(r"\d(?<!\w\d)\d{0,3}(?:[a-z]?,?\s+[^\W\d_]|[a-z]?,)")
 
 
 def may_have_address(low: str) -> bool:
-    return any(k in low for k in STREET_KEYS) or NUMBER_NEAR.search(low) is not None
+    return STREET_KEY.search(low) is not None or NUMBER_NEAR.search(low) is not None
 
 
-CUE = {k: re.compile(v) for k, v in CUES.items()}
-NO_CUE = re.compile(OTHER_CUES)
+CUE = {k: by_first_letter(v) for k, v in CUES.items()}
+NO_CUE = by_first_letter(OTHER_CUES)
 FEATURES = (
     *(f"is_{t}" for t in TYPES),
     "digits", "letters", "length", "plus", "paren", "at_sign", "seps", "digits_9", "digits_11", "digits_lead_0", "dots",
@@ -132,13 +148,13 @@ def propose(text: str, low: str) -> list[tuple[int, int, int]]:
     out: set[tuple[int, int, int]] = set()
     if "@" in text or AT_WORD.search(low):
         out |= {(0, *m.span()) for m in EMAIL.finditer(text)}
-    if DIGIT.search(text):
-        for m in DIGITS.finditer(text):
+    if digits := len(DIGIT.findall(text)):
+        for m in DIGITS.finditer(text) if digits >= 7 else ():
             a, b = m.span()
             a += len(m.group()) - len(m.group().lstrip())
             if sum(c.isdigit() for c in text[a:b]) >= 7:
                 out.add((1, a, b))
-        out |= {(2, *m.span()) for m in NUMBERS.finditer(text)}
+        out |= {(2, *m.span()) for m in NUMBERS.finditer(text)} if digits >= 6 else set()
         for m in ADDRESS.finditer(text) if may_have_address(low) else ():
             out.add((3, *m.span()))
             if own := BEFORE_STREET.match(low, *m.span()):
@@ -147,10 +163,10 @@ def propose(text: str, low: str) -> list[tuple[int, int, int]]:
         n = NAME_AFTER_CUE.match(text, m.end())
         if n:
             out.add((4, *n.span(1)))
-    if any(w in GIVEN for w in WORDS.findall(low)):
+    if not GIVEN.isdisjoint(WORDS.findall(low)):
         for m in PAIR.finditer(text):
             a, b = m.span(1)
-            if any(w in GIVEN for w in WORDS.findall(low[a:b])):
+            if not GIVEN.isdisjoint(WORDS.findall(low[a:b])):
                 out.add((4, a, b))
     return sorted(out)
 
