@@ -38,6 +38,7 @@ SPAN = 12
 #: A document is flagged from this probability of a grade above 0; low, as flagged documents are reviewed.
 FLAG_AT = 0.2
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+HIDES = re.compile("[" + "".join(map(chr, HIDDEN)) + "]")
 SENTENCE = re.compile(r"(?<=[.?!…])\s+|[\r\n]+")
 SPACED = re.compile(r"(?<![\w])(?:[^\W\d_]([ .\-_*]))(?:[^\W\d_]\1){2,}[^\W\d_](?![\w])")
 TOKEN = re.compile(r"[^\W_][\w@$!*'’]*[^\W_]|[^\W_]")
@@ -76,6 +77,11 @@ def single(text: str) -> str:
 
 STEMS = {name: tuple(sorted({single(w) for w in stems.split() if "_" not in w})) for name, stems in FAMILIES.items()}
 PHRASES = {name: tuple(sorted({single(w.replace("_", " ")) for w in stems.split() if "_" in w})) for name, stems in FAMILIES.items()}
+#: Phrases by their first word, which always stands whole; each with its family.
+PHRASES_FROM: dict[str, list[tuple[str, str]]] = {}
+for _name, _phrases in PHRASES.items():
+    for _phrase in _phrases:
+        PHRASES_FROM.setdefault(_phrase.split(" ")[0], []).append((_name, " " + _phrase))
 STEM_PATTERNS = {name: re.compile("|".join(map(re.escape, sorted(stems, key=len, reverse=True)))) for name, stems in STEMS.items()}
 
 
@@ -106,10 +112,8 @@ def skeleton(word: str) -> str:
 
 def words_of(sentence: str) -> tuple[list[str], bool, bool]:
     """Folded words of a sentence, whether an evasive spelling was undone, and whether a masked word can be an insult."""
-    undid = False
-    clean = sentence.translate(HIDDEN)
-    if clean != sentence:
-        undid = True
+    undid = HIDES.search(sentence) is not None
+    clean = sentence.translate(HIDDEN) if undid else sentence
     if SPACED.search(clean):
         clean = SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), clean)
         undid = True
@@ -135,12 +139,12 @@ def read(token: str) -> tuple[str, bool, bool]:
 
 
 @lru_cache(maxsize=200_000)
-def traits(word: str) -> tuple[str, frozenset[str], tuple[int, ...]]:
-    """A folded word with letters single, the families it belongs to, and its hashed features."""
+def traits(word: str) -> tuple[str, frozenset[str], tuple[int, ...], str]:
+    """A folded word with letters single, the families it belongs to, its hashed features, and its name in pairs of words."""
     thin = single(word)
     families = frozenset(n for n in NAMES if (thin in STEMS[n] if n == "you" else STEM_PATTERNS[n].match(thin)))
     name = named(word)
-    return thin, families, tuple(hashed(g) for g in ([f"w {name}", f"s {name[:5]}"] if len(name) > 5 else [f"w {name}"]))
+    return thin, families, tuple(hashed(g) for g in ([f"w {name}", f"s {name[:5]}"] if len(name) > 5 else [f"w {name}"])), name
 
 
 def named(word: str) -> str:
@@ -171,17 +175,19 @@ def features(sentence: str) -> list[int] | None:
     if not words:
         return None
     known = [traits(w) for w in words]
-    joined = " " + " ".join(t for t, _, _ in known) + " "
-    has = set().union(*(f for _, f, _ in known))
-    has |= {name for name in NAMES if name not in has and any(" " + p in joined for p in PHRASES[name])}
+    has = set().union(*(f for _, f, _, _ in known))
+    begun = [pair for thin, _, _, _ in known if thin in PHRASES_FROM for pair in PHRASES_FROM[thin]]
+    if begun:
+        joined = " " + " ".join(t for t, _, _, _ in known) + " "
+        has |= {name for name, phrase in begun if phrase in joined}
     out = {k for k, name in enumerate(NAMES) if name in has}
     out |= {len(NAMES) + k for k, (a, b) in enumerate(PAIRS) if a in has and b in has}
     if masked:
         out.add(DENSE - 2)
     if undid and has & {"insult", "curse", "sexual"}:
         out.add(DENSE - 1)
-    names = [named(w) for w in words]
-    out.update(*(g for _, _, g in known), (hashed(f"b {a} {b}") for a, b in zip(names, names[1:])))
+    names = [name for _, _, _, name in known]
+    out.update(*(g for _, _, g, _ in known), (hashed(f"b {a} {b}") for a, b in zip(names, names[1:])))
     return sorted(out)
 
 
