@@ -350,6 +350,20 @@ def in_chunks(texts: list[str], most_chars: int = 4_000_000) -> Iterator[list[st
         yield chunk
 
 
+def token_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """0-based starts and ends of the tokens of all texts, in their order; a letter may be longer in lower case."""
+    first, last = [], []
+    for text in texts:
+        low = text.lower()
+        spans = [m.span() for m in TOKEN.finditer(low)]
+        if len(low) != len(text):
+            back = [i for i, c in enumerate(text) for _ in c.lower()]
+            spans = [(back[a], back[b - 1] + 1) for a, b in spans]
+        first += [a for a, _ in spans]
+        last += [b for _, b in spans]
+    return np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
+
+
 def segments(items: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """The spans of each text: 1-based ``start_pos``, ``end_pos`` (of the last character), ``lang``, ``confidence``.
 
@@ -361,21 +375,20 @@ def segments(items: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            rows, starts, ends, langs, sure = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                marks = labeller.label([text or ""])
-                lang = marks["lang"]
-                if not len(lang):
-                    continue
-                places = [m.span() for m in TOKEN.finditer(text.lower() if len(text.lower()) == len(text) else text)]
-                cuts = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1]]))
-                for a, b in zip(cuts, np.append(cuts[1:], len(lang))):
-                    yes, no = int(marks["telling"][a:b].sum()), int(marks["against"][a:b].sum())
-                    rows.append(i)
-                    starts.append(places[marks["at"][a]][0] + 1)
-                    ends.append(places[marks["at"][b - 1]][1])
-                    langs.append(LANGS[lang[a]])
-                    sure.append(round((yes + 0.5) / (yes + no + 1.0) * (1 - 2.0 ** (-yes / 2.0)), 6))
+            rows, starts, ends, langs, sure, done = [], [], [], [], [], 0
+            for chunk in in_chunks([x or "" for x in batch.column("text").to_pylist()]):
+                marks = labeller.label(chunk)
+                lang, owner, at = marks["lang"], marks["text"], marks["at"]
+                if len(lang):
+                    cuts = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (owner[1:] != owner[:-1])]))
+                    yes, no = (np.add.reduceat(marks[k].astype(np.int64), cuts) for k in ("telling", "against"))
+                    first, last = token_places(chunk)
+                    rows += (owner[cuts] + done).tolist()
+                    starts += (first[at[cuts]] + 1).tolist()
+                    ends += last[at[np.append(cuts[1:], len(lang)) - 1]].tolist()
+                    langs += [LANGS[k] for k in lang[cuts].tolist()]
+                    sure += np.round((yes + 0.5) / (yes + no + 1.0) * (1 - np.exp2(-yes / 2.0)), 6).tolist()
+                done += len(chunk)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [*keys, "start_pos", "end_pos", "lang", "confidence"])
 
