@@ -51,7 +51,7 @@ CYRILLIC, LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[A-Za-zÀ-ɏ]")
 #: Beginnings of words (folded, doubled letters single) by family, in the six languages.
 FAMILIES = {
     "insult": "idiot debil kretyn palant palanc dupek dupk balwan gnoj gnoi smieciu nieudacznik glupek tuman matol ciot frajer pajac smiec szmat suko skurwysyn moron bastard ashole asshole scumbag dumbas loser piece_of_shit clown bitch jerk wanker twat prick dickhead arschloch trotel mistkerl pener volidiot vollidiot wichser hurensohn depp schlampe mißgeburt cabron gilipolas imbecil pendejo hijo_de_puta estupido_de ідіот кретин покидьк нікчем дебіл придур мудак сволот виродк kreten debile hajzl blbec kokot idiote vole_blby imbecil zmrd",
-    "curse": "kurw pierdol odpierdol spierdal wypierdal spieprzaj jeb zajeb huj chuj pizd fuck shit bulshit bullshit verpis scheis scheiß fick mierd joder coño бісу курв хуй бля срак лайн єбан prdel kurva hovno jdi_do serem drz_hubu halt_die_fresse fresse pysk morda zamknij_sie shut_up go_to_hell calate callate стули_пельку пельку vete_a_la",
+    "curse": "kurw pierdol odpierdol spierdal wypierdal spieprzaj jeb zajeb huj chuj pizd fuck shit bulshit bullshit verpis scheis scheiß fick mierd joder бісу курв хуй бля срак лайно єбан prdel kurva hovno jdi_do serem drz_hubu halt_die_fresse fresse pysk morda zamknij_sie shut_up go_to_hell calate callate стули_пельку пельку vete_a_la",
     "threat": "zdechn polamie znajde_cie zabije_cie zatluke uduszi udlaw choke break_your kill_you find_you_and jump_of jumped_off hang_yourself miss_you_if breche_dir finde_dich bringe_dich umbring te_voy_a_matar romper_las знайду_тебе вб'ю_тебе вбю_тебе здохн найду_тебя najdu_te zabiju_te chcipni zlamu_ti ojala_te ojala_se",
     "degrade": "robactw zaraza zaraze zarazy gorsi_od_zwierzat nadaja_sie_tylko wyrzucic_stad trzeba_ich zadnych_praw vermin les_than_animals less_than worth_less thrown_out no_rights to_stupid_to too_stupid send_them_al send_them ungeziefer rausgeworfen weniger_wert schlimer_als keine_rechte plaga hay_que_echar peores_que valen_menos menos_que_los_animales паразит вигнат гірші_за havet vyhodit horsi_nez zadna_prava subhuman podludz untermensch",
     "sexual": "porn pornos nagie_zdjec nago cycki cyck cycat nude naked tits titten titen nacktfoto nackt bumsen tetas desnud голі_фото цицьк цицк голою nahe_fotk nahou kozy sexualni sperm penis vagin masturb orgazm orgasm blowjob erotick_fot bzyk ruchac ruchan dymac секс_зі",
@@ -75,16 +75,6 @@ def single(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
-STEMS = {name: tuple(sorted({single(w) for w in stems.split() if "_" not in w})) for name, stems in FAMILIES.items()}
-PHRASES = {name: tuple(sorted({single(w.replace("_", " ")) for w in stems.split() if "_" in w})) for name, stems in FAMILIES.items()}
-#: Phrases by their first word, which always stands whole; each with its family.
-PHRASES_FROM: dict[str, list[tuple[str, str]]] = {}
-for _name, _phrases in PHRASES.items():
-    for _phrase in _phrases:
-        PHRASES_FROM.setdefault(_phrase.split(" ")[0], []).append((_name, " " + _phrase))
-STEM_PATTERNS = {name: re.compile("|".join(map(re.escape, sorted(stems, key=len, reverse=True)))) for name, stems in STEMS.items()}
-
-
 def folded(text: str) -> str:
     """Lower case without diacritics."""
     low = text.lower()
@@ -93,6 +83,16 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low.translate(STROKES)) if not unicodedata.combining(c))
 
 
+STEMS = {name: tuple(sorted({single(folded(w)) for w in stems.split() if "_" not in w})) for name, stems in FAMILIES.items()}
+PHRASES = {name: tuple(sorted({single(folded(w.replace("_", " "))) for w in stems.split() if "_" in w})) for name, stems in FAMILIES.items()}
+#: Phrases by their first word, which always stands whole; each with its family.
+PHRASES_FROM: dict[str, list[tuple[str, str]]] = {}
+for _name, _phrases in PHRASES.items():
+    for _phrase in _phrases:
+        PHRASES_FROM.setdefault(_phrase.split(" ")[0], []).append((_name, " " + _phrase))
+STEM_PATTERNS = {name: re.compile("|".join(map(re.escape, sorted(stems, key=len, reverse=True)))) for name, stems in STEMS.items()}
+
+
 def undone(word: str) -> tuple[str, bool]:
     """A word with evasive spelling undone, and whether there was any."""
     changed = False

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and known cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -57,6 +58,16 @@ def test_segments_have_their_texts(spark, model):
     assert [(r["lang"], text[r["start_pos"] - 1 : r["end_pos"]].split()[0]) for r in rows] == [("pl", "Nie"), ("en", "Please")]
 
 
+def test_segments_of_a_batch_are_those_of_each_text(spark, model):
+    texts = ["Nie mogę otworzyć pliku od rana, bo program się zawiesza. Please restore the folder from the copy of the last week.", "", "Please restore the folder from the copy.", "İİİ 12 Nie mogę otworzyć pliku od rana, bo program się zawiesza.", None, "Jak mogę zmienić hasło do poczty?"]
+    columns = "id int, text string"
+    together = language_spans.segments(spark.createDataFrame(list(enumerate(texts)), columns).coalesce(1), model, ["id"]).collect()
+    alone = [r for i, t in enumerate(texts) for r in language_spans.segments(spark.createDataFrame([(i, t)], columns), model, ["id"]).collect()]
+    assert sorted(together) == sorted(alone)
+    shifted = [texts[3][r["start_pos"] - 1 : r["end_pos"]] for r in together if r["id"] == 3 and r["lang"] == "pl"]
+    assert shifted and shifted[-1].endswith("się zawiesza") and "Nie mogę" in shifted[-1]
+
+
 # records
 
 
@@ -228,6 +239,17 @@ def test_personal_data(spark):
     assert out[0] == "Oddzwońcie na [PHONE] jeszcze dziś." and out[17] is None and out[1] == cases[1][0]
 
 
+def test_grouped_cues_match_as_written():
+    rng = random.Random(5)
+    words = "tel telefon call dzwonic hotel paszport dowodu osobisty ssn social security ni number adres kurier nazywam sie name is name ist pozdrawiam, mailem order ticket port passport mój номер заявки на ім'я: moj numer to x".split()
+    texts = [rng.choice(["", " ", ", ", ": "]).join(rng.choices(words, k=9)) for _ in range(400)]
+    for pattern, quick in [*((personal_data.CUES[k], personal_data.CUE[k]) for k in personal_data.CUES), (personal_data.OTHER_CUES, personal_data.NO_CUE)]:
+        plain = re.compile(pattern)
+        assert all([m.span() for m in plain.finditer(t)] == [m.span() for m in quick.finditer(t)] for t in texts)
+    with pytest.raises(ValueError):
+        personal_data.by_first_letter("tel|x?y")
+
+
 def test_address_filter_passes_every_match():
     rng = random.Random(8)
     bits = ["ul. ", "ulica ", "Gajowa ", "Alte ", "Mühlgasse ", "STRASSE ", "Hauptstraße ", "str. ", "flat 3, ", "12 ", "7b, ", "363 ", "Larchbury ", "Road", "вул. ", "Шевченка ", "c/ ", "Mayor ", "HD-1234567 ", "10.2 ", "m. 2", "Kupferhain ", ", 04393 Stadt", "x"]
@@ -359,6 +381,12 @@ def test_evasive_spellings():
     assert severity.features("...") is None
 
 
+def test_phrases_are_found_by_their_first_word():
+    for family, phrases in severity.PHRASES.items():
+        for phrase in phrases:
+            assert severity.NAMES.index(family) in severity.features(f"xyz {phrase} qwv"), phrase
+
+
 def test_severity(spark):
     documents, votes = severity.table(spark, SF, "documents"), severity.table(spark, SF, "review_labels")
     fitted = severity.fit(documents, votes)
