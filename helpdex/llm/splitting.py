@@ -2,8 +2,10 @@
 
 For each text the sizes of its tokens (here single characters, measured in characters or UTF-8 bytes) are prefix-summed
 and the possible cuts of each level (paragraph, sentence, blank) form sorted arrays. A piece ends at the last boundary
-under the limit, found by binary search; the next piece begins up to ``overlap`` before that, moved forward to a word
-start if there is one. Where there is no boundary the text is cut hard at the limit.
+under the limit, found by binary search, of the first level that has one there; the next piece begins up to ``overlap``
+before that, moved forward to a word start if there is one. A part that fits only without the whole overlap is kept whole
+and less is repeated. Where there is no boundary the text is cut hard at the limit. The finest level at which a text is
+cut is its boundary: the first level that leaves no part over the limit.
 
 Defined results: a null text has no piece; an empty or blank text has none either; a text within the limit is one piece;
 repeated rows of one key and text give one set of pieces, and so do those of the null key; different texts of one key
@@ -25,11 +27,11 @@ from helpdex.sources.tables import table
 LIMIT, OVERLAP = 1200, 120
 WHITE = " \t\n\f\r"
 LEVELS = ("paragraph", "sentence", "blank")
-PARAGRAPH = re.compile(r"[ \t\n\f\r]*\n[ \t]*\n[ \t\n\f\r]*")
-SENTENCE = re.compile(r"(?<=[.!?…])[ \t\n\f\r]+")
+STOPS = ".!?…"
+EMPTY_LINE = re.compile(r"\n[ \t]*\n")
 BLANK = re.compile(r"[ \t\n\f\r]+")
 PIECE_SCHEMA = "item_table string, item_key string, item string, piece int, start_pos int, end_pos int, overlap int, boundary string, text string"
-FOUND_SCHEMA = "item_table string, item_key string, boundary string"
+FOUND_SCHEMA = "item_table string, item_key string, item string, boundary string"
 
 
 def trimmed(text: str) -> str:
@@ -39,14 +41,12 @@ def trimmed(text: str) -> str:
 
 def boundaries(text: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each level the sorted ends of its parts and the starts of the parts that follow; coarser cuts are in finer levels."""
-    spans: set[tuple[int, int]] = set()
-    out = {}
-    for level, pattern in zip(LEVELS, (PARAGRAPH, SENTENCE, BLANK)):
-        own = {m.span() for m in pattern.finditer(text)}
-        spans = own if level == "blank" else spans | own
-        cuts = sorted(spans)
-        out[level] = (np.array([a for a, _ in cuts], dtype=np.int64), np.array([b for _, b in cuts], dtype=np.int64))
-    return out
+    runs = [m.span() for m in BLANK.finditer(text)]
+    paragraph = [b - a > 1 and EMPTY_LINE.search(text, a, b) is not None for a, b in runs]
+    sentence = [p or (a > 0 and text[a - 1] in STOPS) for (a, _), p in zip(runs, paragraph)]
+    spans = np.array(runs, dtype=np.int64).reshape(-1, 2)
+    kept = (spans[np.array(keep, dtype=bool)] for keep in (paragraph, sentence, [True] * len(runs)))
+    return {level: (cuts[:, 0], cuts[:, 1]) for level, cuts in zip(LEVELS, kept)}
 
 
 def size_prefix(text: str, unit: str) -> np.ndarray:
@@ -57,43 +57,49 @@ def size_prefix(text: str, unit: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)])
 
 
-def first_level(text: str, cuts: dict[str, tuple[np.ndarray, np.ndarray]], limit: int) -> str:
-    """The first level whose parts are all within ``limit``, else ``none``."""
-    for level in LEVELS:
-        ends, starts = cuts[level]
-        if np.max(np.append(ends, len(text)) - np.concatenate([[0], starts])) <= limit:
-            return level
-    return "none"
+def _word_start(word_starts: np.ndarray, first: int, before: int) -> int:
+    """The first word start from ``first`` on and before ``before``, else ``first``."""
+    k = int(np.searchsorted(word_starts, first, "left"))
+    return int(word_starts[k]) if k < len(word_starts) and word_starts[k] < before else first
+
+
+def _cuts(text: str, cuts: dict[str, tuple[np.ndarray, np.ndarray]], limit: int, overlap: int, unit: str) -> list[tuple[int, int, int, int]]:
+    """``(start, end, overlap, level)`` of each piece; the level is a place in LEVELS, or their number after a hard cut."""
+    total, size, word_starts = len(text), size_prefix(text, unit), cuts["blank"][1]
+    # the end of the text ends a paragraph
+    levels = [(np.append(cuts[level][0], total), np.append(cuts[level][1], total)) for level in LEVELS]
+    out, start, done = [], 0, 0
+    while done < total:
+        back = _word_start(word_starts, max(start, int(np.searchsorted(size, size[done] - overlap, "left"))), done)
+        full, most = (int(np.searchsorted(size, size[i] + limit, "right")) - 1 for i in (back, done))
+        for level, (ends, starts) in enumerate(levels):
+            k = int(np.searchsorted(ends, full, "right")) - 1
+            if k < 0 or starts[k] <= done:
+                k += 1  # no boundary leaves room for the whole overlap: the first that leaves less
+            if ends[k] <= most:
+                end = min(int(starts[k]), most)
+                break
+        else:
+            level, end = len(LEVELS), max(full, done + 1)
+        room = int(np.searchsorted(size, size[end] - limit, "left"))
+        start = back if room <= back else _word_start(word_starts, min(room, done), done)
+        out.append((start, end, done - start, level))
+        done = end
+    return out
+
+
+def _finest(pieces: list[tuple[int, int, int, int]]) -> str:
+    return (*LEVELS, "none")[max((level for *_, level in pieces), default=0)]
+
+
+def first_level(text: str, cuts: dict[str, tuple[np.ndarray, np.ndarray]], limit: int, unit: str = "chars") -> str:
+    """The first level whose parts are all within ``limit``, else ``none``: the finest at which the text has to be cut."""
+    return _finest(_cuts(text, cuts, limit, 0, unit))
 
 
 def cut_points(text: str, cuts: dict[str, tuple[np.ndarray, np.ndarray]], limit: int, overlap: int, unit: str = "chars") -> list[tuple[int, int, int]]:
     """``(start, end, overlap)`` of each piece; the pieces without their overlaps, joined, are the text."""
-    total, size = len(text), size_prefix(text, unit)
-    word_starts = cuts["blank"][1]
-    out, start, repeated = [], 0, 0
-    while True:
-        most = int(np.searchsorted(size, size[start] + limit, "right")) - 1
-        if most >= total:
-            out.append((start, total, repeated))
-            return out
-        least = start + repeated + 1
-        end = 0
-        for floor in (max(least, start + (most - start) // 2), least):
-            for level in LEVELS:
-                ends, starts = cuts[level]
-                k = int(np.searchsorted(ends, most, "right")) - 1
-                if k >= 0 and ends[k] >= floor:
-                    end = min(int(starts[k]), most)
-                    break
-            if end:
-                break
-        end = max(end or most, least)
-        back = max(int(np.searchsorted(size, size[end] - overlap, "left")), start + 1)
-        k = int(np.searchsorted(word_starts, back, "left"))
-        # a word start inside the overlap, else a hard step back
-        begin = int(word_starts[k]) if k < len(word_starts) and word_starts[k] < end else back
-        out.append((start, end, repeated))
-        start, repeated = begin, end - begin
+    return [piece[:3] for piece in _cuts(text, cuts, limit, overlap, unit)]
 
 
 def _find(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +113,7 @@ def _find(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
                 levels.append(first_level(text, boundaries(text), limit))
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("item_table").take(at), batch.column("item_key").take(at), pa.array(levels, pa.string())], ["item_table", "item_key", "boundary"]
+            [*(batch.column(c).take(at) for c in ("item_table", "item_key", "item")), pa.array(levels, pa.string())], ["item_table", "item_key", "item", "boundary"]
         )
 
 
@@ -118,9 +124,9 @@ def _split(batches: Iterator[pa.RecordBatch], limit: int, overlap: int, unit: st
             text = trimmed(raw)
             if not text:
                 continue
-            cuts = boundaries(text)
-            level = first_level(text, cuts, limit)
-            for n, (a, b, o) in enumerate(cut_points(text, cuts, limit, overlap, unit)):
+            pieces = _cuts(text, boundaries(text), limit, overlap, unit)
+            level = _finest(pieces)
+            for n, (a, b, o, _) in enumerate(pieces):
                 at.append(i), piece.append(n), starts.append(a), ends.append(b), repeats.append(o), levels.append(level), texts.append(text[a:b])
         rows = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -132,12 +138,13 @@ def _split(batches: Iterator[pa.RecordBatch], limit: int, overlap: int, unit: st
 def oversized(items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(item_table, item_key, boundary)`` of each distinct item over the limit after trimming.
 
-    Only texts that can be over the limit leave the JVM. Rows with a null key are kept under the null key.
+    Only texts that can be over the limit leave the JVM. Rows with a null key are kept under the null key; there is a row for
+    every distinct text, also where the key is null or several texts have the same one.
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    long = items.select("item_table", "item_key", "text").where(F.length("text") > limit)
-    return long.mapInArrow(lambda batches: _find(batches, limit), FOUND_SCHEMA).distinct()
+    long = items.select("item_table", "item_key", "text").where(F.length("text") > limit).withColumn("item", F.sha2("text", 256))
+    return long.mapInArrow(lambda batches: _find(batches, limit), FOUND_SCHEMA).distinct().drop("item")
 
 
 def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, unit: str = "chars") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -119,6 +120,56 @@ def test_boundaries_are_natural():
         splitting.split(None, 100, 60)
 
 
+def parts(text, level):
+    """The trimmed parts of a level, as the definition of the boundary has them."""
+    out = re.split(r"\n[ \t]*\n", text)
+    if level == "sentence":
+        out = [s for part in out for s in re.split(r"(?<=[.!?…])[ \t\n\f\r]+", part)]
+    return [part.strip(splitting.WHITE) for part in (re.split(r"[ \t\n\f\r]+", text) if level == "blank" else out)]
+
+
+@pytest.mark.parametrize(("limit", "overlap", "unit"), [(60, 20, "chars"), (60, 0, "chars"), (90, 40, "bytes")])
+def test_texts_are_cut_at_their_boundary_and_no_finer(limit, overlap, unit):
+    rng = random.Random(7)
+    size = len if unit == "chars" else lambda text: len(text.encode())
+    seen = set()
+    for words in (["słowo", "ą"], ["słowo", "😀😀"], ["żółw" * 4], ["ą" * 40, "x"]):
+        for _ in range(150):
+            text = splitting.trimmed("".join(rng.choice([*words * 3, " ", " ", "\n\n", "\n \n\f", "\n", ". ", "!\t", "…"]) for _ in range(rng.randint(1, 90))))
+            cuts = splitting.boundaries(text)
+            level = next((x for x in splitting.LEVELS if max(map(size, parts(text, x))) <= limit), "none")
+            assert splitting.first_level(text, cuts, limit, unit) == level
+            seen.add(level)
+            pieces = splitting.cut_points(text, cuts, limit, overlap, unit)
+            assert "".join(text[a + o : b] for a, b, o in pieces) == text and all(size(text[a:b]) <= limit for a, b, _ in pieces)
+            assert all(a <= b < c for (a, _, _), (b, _, _), c in zip(pieces, pieces[1:], [e for _, e, _ in pieces[1:]]))
+            if level != "none":
+                assert all(any(x <= b <= y for x, y in zip(*cuts[level])) for _, b, _ in pieces[:-1])
+    assert seen == {*splitting.LEVELS, "none"}
+
+
+def test_a_paragraph_that_fits_stays_whole():
+    heading, first, second = "Tytuł", "Zdanie ma kilka słów. " * 17 + "Koniec.", "Inne zdanie jest tu. " * 54 + "Koniec."
+    text = "\n\n".join([heading, first, second])
+    assert len(heading + first) < 600 and 1080 < len(second) <= 1200
+    pieces = splitting.cut_points(text, splitting.boundaries(text), 1200, 120)
+    assert [text[a + o : b].strip() for a, b, o in pieces] == [f"{heading}\n\n{first}", second]
+    assert 0 < pieces[1][2] <= 1200 - len(second)
+
+
+def test_pieces_in_bytes_are_labelled_in_bytes(spark):
+    items = spark.createDataFrame([("t", "a", "ą" * 15 + "\n\n" + "ą" * 15), ("t", "b", "ą" * 9 + ". " + "ą" * 9)], "item_table string, item_key string, text string")
+    assert {tuple(r) for r in splitting.split(items, 20, 4, "bytes").select("item_key", "boundary").collect()} == {("a", "none"), ("b", "sentence")}
+
+
+def test_boundaries_of_long_white_space_take_one_pass():
+    text = "a" + " \n\f" * 20_000 + "b"
+    began = time.process_time()
+    cuts = splitting.boundaries(text)
+    assert time.process_time() - began < 1
+    assert [x.tolist() for x in cuts["blank"]] == [[1], [len(text) - 1]] and len(cuts["paragraph"][0]) == 0
+
+
 # vectors
 
 

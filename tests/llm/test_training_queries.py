@@ -40,6 +40,10 @@ def null_keys_dir(spark, tmp_path_factory):
     return str(base)
 
 
+def test_found_texts_of_null_and_shared_keys(spark, null_keys_dir):
+    compare(spark, QUERIES, SQL, "p3_found", null_keys_dir)
+
+
 def test_joined_texts_of_null_and_shared_keys(spark, null_keys_dir):
     compare(spark, QUERIES, SQL, "p3_joined", null_keys_dir)
 
